@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomcorpus.llm import packing, quality, secrets
+from loomcorpus.llm import near_dedup, packing, quality, secrets, suffix_dedup
 from loomcorpus.llm.common import Shared, documents
 
-#: SQL cannot express bin packing; tests hold the stages against brute force.
+#: SQL cannot express near-dedup, token efficiency or bin packing; tests hold every stage against
+#: brute force.
 ORACLE_SQL = None
 
 
@@ -18,6 +19,16 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return kept.select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays."""
+    return near_dedup.one_of_each(docs)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages that an earlier document or place has too are cut out; all documents stay."""
+    return suffix_dedup.drop_repeats(docs)
+
+
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are masked; all documents stay."""
     return secrets.mask_secrets(docs)
@@ -30,6 +41,8 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 STAGES = [
     ("quality rules", quality_rules),
+    ("near-dedup", near_duplicates),
+    ("suffix-array dedup", repeated_passages),
     ("secret scans", secret_scan),
     ("best-fit packing", best_fit_packing),
 ]

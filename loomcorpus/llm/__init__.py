@@ -6,7 +6,7 @@ DuckDB SQL. ``registry()`` collects them for the entry file.
 
 from importlib import import_module
 
-MODULES = ("packing", "quality", "token_counts", "near_dedup", "suffix_dedup", "bpe", "sharding", "secrets")
+MODULES = ("packing", "quality", "token_counts", "near_dedup", "suffix_dedup", "neighbours", "language_model", "bpe", "sharding", "secrets")
 
 
 def registry():
