@@ -1,9 +1,15 @@
-"""Registered queries over the reference tables, with their DuckDB SQL."""
+"""Registered queries over the given tables, with their DuckDB SQL where SQL can express them."""
 
+from . import chunks, ordering, sampling, tables, text
 
-def queries():
-    return {}
 
+def _all() -> dict:
+    return {k: v for m in (text, chunks, ordering, sampling, tables) for k, v in m.QUERIES.items()}
 
-def oracles():
-    return {}
+
+def queries() -> dict:
+    return {k: q for k, (q, _) in _all().items()}
+
+
+def oracles() -> dict:
+    return {k: sql for k, (_, sql) in _all().items() if sql}
