@@ -83,7 +83,7 @@ def permuted_page(spark, d):
 
 def batch_assign(spark, d):
     ids = docs(spark, d).select("id")
-    return sampling.batches(ids, 32, (hash52(42, "visit", F.col("id")), F.col("id")))
+    return sampling.batches(ids, 32, ("id",))
 
 
 def batch_dedupe(spark, d):
