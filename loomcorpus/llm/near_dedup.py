@@ -29,7 +29,7 @@ ROWS = 3
 OVERLAP = 0.5
 #: Ids up to which a set is sent to every executor (8 bytes each); larger sets are joined.
 SENT_IDS = 1_000_000
-#: Rounds of comparing with one document a bucket; whatever is left then is compared pairwise.
+#: Rounds of comparing with one document a bucket at most; what is of different groups then is compared pairwise.
 STAR_ROUNDS = 6
 U = np.uint64
 
@@ -163,6 +163,11 @@ def components(shared: Shared, edges: DataFrame, name: str) -> DataFrame:
         labels = moved.select("doc_id", "label")
 
 
+def relabelled(members: DataFrame, groups: DataFrame) -> DataFrame:
+    """The members of buckets with the labels of their groups of now."""
+    return members.drop("label").join(groups, "doc_id", "left").select("doc_id", "band", "key", F.coalesce("label", "doc_id").alias("label"))
+
+
 def near_groups(df: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, overlap: float = OVERLAP) -> DataFrame:
     """doc_id, group_id, keep of every document that has near copies; group_id is the smallest
     doc_id of the group, whose document is the one to keep.
@@ -171,8 +176,9 @@ def near_groups(df: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows:
     at least ``overlap``; case and punctuation at the ends of words don't count. Groups are
     connected by verified pairs; equal multisets are grouped without a candidate search. In a bucket
     all are compared with its smallest document, what isn't in that one's group with the next, and
-    so on, so a bucket of thousands of copies costs as many comparisons as documents, and any two
-    kept documents that share a bucket have been compared. Null, empty and blank texts and null
+    so on, so copies of one document cost as many comparisons as documents; then all pairs of a
+    bucket that are still of different groups are compared, so any two documents of different groups
+    that share a bucket have been compared. Null, empty and blank texts and null
     doc_ids have no near copies. Rows with the same doc_id are one document. Texts of fewer words
     than a shingle count as one shingle. Extra columns are ignored; an empty table gives an empty
     result.
@@ -194,14 +200,17 @@ def near_groups(df: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows:
     edges = copies.select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
     failed = None
     bucket = Window.partitionBy("band", "key")
+    mixed = F.min("label").over(bucket) != F.max("label").over(bucket)
     for turn in range(STAR_ROUNDS + 2):
-        if turn <= STAR_ROUNDS:
+        star = turn <= STAR_ROUNDS and bool(members.head(1))
+        if star:
             hub = F.min(F.struct("doc_id", "label")).over(bucket)
             tried = members.withColumn("hub", hub).filter("label <> hub.label").select(F.col("doc_id").alias("a"), F.col("hub.doc_id").alias("b"))
-        else:
-            other = members.select("band", "key", F.col("doc_id").alias("b"), F.col("label").alias("label_b"))
-            pairs = members.withColumnRenamed("doc_id", "a").join(other, ["band", "key"])
-            tried = pairs.filter("a > b and label <> label_b").select("a", "b")
+        else:  # the members of a hub's group too meet all documents of other groups in their buckets
+            rest = relabelled(whole, groups).withColumn("mixed", mixed).filter("mixed") if failed is not None else members
+            rest = shared.table(rest.select("doc_id", "band", "key", "label"), "rest")
+            other = rest.select("band", "key", F.col("doc_id").alias("b"), F.col("label").alias("label_b"))
+            tried = rest.withColumnRenamed("doc_id", "a").join(other, ["band", "key"]).filter("a > b and label <> label_b").select("a", "b")
         # first every document's smallest hub alone: most are then of one group, and need no more
         tried = tried.groupBy("a").agg(F.min("b").alias("b")) if turn == 0 else tried.distinct()
         if failed is not None:
@@ -210,18 +219,19 @@ def near_groups(df: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows:
         good = shared.table(verified(tried, texts, shingle, overlap), f"good{turn}")
         edges = edges.union(good)
         groups = components(shared, edges, f"groups{turn}")
+        if not star:
+            break
         bad = tried.join(good, ["a", "b"], "left_anti")
         failed = shared.table(bad if failed is None else failed.union(bad), f"failed{turn}")
-        label = members.drop("label").join(groups, "doc_id", "left").select("doc_id", "band", "key", F.coalesce("label", "doc_id").alias("label"))
+        label = relabelled(members, groups)
         if turn == 0:  # not all hubs have been tried: buckets of more than one group remain whole
-            left = label.withColumn("mixed", F.min("label").over(bucket) != F.max("label").over(bucket)).filter("mixed")
+            left = label.withColumn("mixed", mixed).filter("mixed")
         else:  # the smallest document has been compared with all that aren't of its group
             left = label.withColumn("hub", F.min(F.struct("doc_id", "label")).over(bucket)).filter("label <> hub.label")
-            left = left.withColumn("mixed", F.min("label").over(bucket) != F.max("label").over(bucket)).filter("mixed")
+            left = left.withColumn("mixed", mixed).filter("mixed")
         members = shared.table(left.select("doc_id", "band", "key", "label"), f"members{turn}")
+        whole = members if turn == 0 else whole
         release(spark)
-        if not members.head(1):
-            break
     return groups.select("doc_id", F.col("label").alias("group_id"), (F.col("doc_id") == F.col("label")).alias("keep"))
 
 

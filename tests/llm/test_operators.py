@@ -291,6 +291,28 @@ def test_near_duplicates_by_brute_force(spark):
     assert kept == set(label.values())
 
 
+def test_originals_with_the_largest_id_join_their_copies(spark):
+    r = random.Random(23)
+    texts = {}
+    for g in range(40):
+        base = prose(1500 + g, 150).split()
+        for share in (0.07, 0.08, 0.09, 0.1):  # about 0.6 of the original's shingles each, of each other's less than half
+            w = base[:]
+            for i in r.sample(range(len(w)), int(len(w) * share)):
+                w[i] = f"edit{len(texts)}x{i}"
+            texts[len(texts)] = " ".join(w)
+        texts[1000 + g] = " ".join(base)
+    df = table(spark, [(i, t, "", "", 0) for i, t in texts.items()])
+    bands = {x.doc_id: x.bands for x in near_dedup.banded(df).collect()}
+    label = {i: i for i in texts}
+    for a, b in itertools.combinations(texts, 2):
+        if any(x == y for x, y in zip(bands[a], bands[b], strict=True)) and _overlap(texts[a], texts[b]) >= near_dedup.OVERLAP:
+            x, y = sorted((label[a], label[b]))
+            label = {k: x if v == y else v for k, v in label.items()}
+    sizes = Counter(label.values())
+    assert {tuple(x) for x in near_dedup.near_groups(df).collect()} == {(i, g, i == g) for i, g in label.items() if sizes[g] > 1}
+
+
 def test_signatures_estimate_weighted_jaccard():
     r = np.random.default_rng(2)
     a = r.integers(1, 40, 60)
