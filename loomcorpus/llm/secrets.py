@@ -16,9 +16,10 @@ from .common import documents, pick
 
 NAME = "op10_secret_scan"
 SQL = None
-#: A candidate: so many of such signs in a row, no letter or digit of any script beside them.
+#: A candidate: so many of such signs in a row, no letter or digit of any script beside them; an
+#: assignment's = may stand directly before it.
 MIN_CHARS = 16
-CANDIDATE = rf"(?<![\w+/=\-])[A-Za-z0-9+/_\-]{{{MIN_CHARS},}}={{0,2}}(?![\w+/=\-])"
+CANDIDATE = rf"(?<![\w+/\-])[A-Za-z0-9+/_\-]{{{MIN_CHARS},}}={{0,2}}(?![\w+/=\-])"
 #: Strings with at most so many characters a token count as random.
 MAX_RATIO = 2.4
 #: A name of a credential just before the candidate, with signs of an assignment between.

@@ -372,6 +372,16 @@ def test_secrets(spark):
     assert all(("[SECRET]" in masked[i].text) == (i < len(planted)) for i in masked)
 
 
+def test_secrets_directly_after_an_assignment_sign(encoder):
+    count = lambda s: len(encoder.encode_ordinary(s))
+    secret = "q7Xk2LmP9vRt4WzB8nYc3DfG6hJs"
+    for form in ("api_key={}", "AWS_SECRET_ACCESS_KEY={}\nNEXT=1", "https://example.org/a?x=1&token={}&y=2", "KEY={}", 'KEY="{}"', "see ?token={}."):
+        text = form.format(secret)
+        assert [(x[0], x[2]) for x in secrets.scan_text(text, count)] == [(text.index(secret), secret)], form
+    for clean in ("file=some-kebab-case-identifier-name", "md5=d41d8cd98f00b204e9800998ecf8427e", "id=550e8400-e29b-41d4-a716-446655440000", "=" * 40):
+        assert secrets.scan_text(clean, count) == [], clean
+
+
 def test_pick_prefers_the_exact_name(spark):
     df = spark.createDataFrame([(1, "a", "b")], "doc_id long, Text string, text string")
     assert tuple(pick(df, "doc_id", "text").first()) == (1, "b")
