@@ -148,3 +148,11 @@ def bm25_negative(ranked: DataFrame, pool: DataFrame, draw_no: int = 0, rotate:
     w = Window.partitionBy("anchor")
     nth = hits.withColumn("nth", F.row_number().over(w.orderBy("rank")) - 1).withColumn("n", F.count("*").over(w))
     return nth.filter(F.col("nth") == F.lit(draw_no) % F.least(F.lit(rotate), F.col("n"))).select(F.col("anchor").alias("id"), F.col("id").alias("negative_id"))
+
+
+def bm25_or_uniform(ranked: DataFrame, pool: DataFrame, draw_no: int = 0, rotate: int = 3, seed: int = 42) -> DataFrame:
+    """id, negative_id, fallback: the negative of bm25_negative; where the anchor has no hit in its split,
+    a uniform draw from its split and source, else from its split (fallback). pool: id, source, split."""
+    found = bm25_negative(ranked, pool, draw_no, rotate).withColumnRenamed("negative_id", "neg")
+    near, far = (_draw(pool, by, "bm25", seed) for by in (["source", "split"], ["split"]))
+    return _tiers(pool, [(found, False), (near, True), (far, True)])

@@ -1,11 +1,11 @@
-"""Samples of recipes with equal selectors and of selectors other than roles."""
+"""Samples of recipes with equal selectors and of selectors other than roles; BM25 negatives with a fallback."""
 
 import pytest
 from pyspark.sql import functions as F
 
 from loomcorpus.config import CONTEXT, ChunkingStrategy, Selector, TextRecipe, TripletRecipe, row_recipes
 from loomcorpus.errors import ConfigurationError
-from loomcorpus.operators import sampling
+from loomcorpus.operators import metrics, sampling, selection
 
 STRATEGY = ChunkingStrategy(window=8, overlaps=(0,), fallback_tokens=0)
 
@@ -40,3 +40,15 @@ def test_selectors_other_than_roles(spark):
     assert sampling.texts(sections, (TextRecipe("t", Selector("random")),), STRATEGY).count() == 6
     with pytest.raises(ConfigurationError):
         sampling.texts(sections, (TextRecipe("t", Selector("temporal_offset", 1)),), STRATEGY)
+
+
+def test_anchors_without_a_bm25_hit_fall_back(spark):
+    rows = [("a", "s", "train", "red fox"), ("b", "s", "train", "red fox runs"), ("c", "s", "train", "blue"), ("d", "t", "train", "alone"), ("e", "u", "test", "single")]
+    pool = spark.createDataFrame(rows, "id string, source string, split string, text string")
+    got = {x.id: x for x in selection.bm25_or_uniform(selection.bm25_top(pool), pool.drop("text")).collect()}
+    assert set(got) == {"a", "b", "c", "d"}
+    assert (got["a"].negative_id, got["a"].fallback, got["b"].negative_id, got["b"].fallback) == ("b", False, "a", False)
+    assert got["c"].negative_id in ("a", "b") and got["c"].fallback
+    assert got["d"].negative_id in ("a", "b", "c") and got["d"].fallback
+    rate = metrics.fallback_rate(selection.bm25_or_uniform(selection.bm25_top(pool), pool.drop("text"))).first()
+    assert (rate.fallbacks, rate.selections) == (2, 4)
