@@ -24,8 +24,8 @@ CANDIDATE = rf"(?<![\w+/\-])[A-Za-z0-9+/_\-]{{{MIN_CHARS},}}={{0,2}}(?![\w+/=\-]
 MAX_RATIO = 2.4
 #: A name of a credential just before the candidate, with signs of an assignment between.
 CREDENTIAL = re.compile(
-    r"(?:token|secret|passw(?:or)?d|pwd|passphrase|api[ _-]?key|access[ _-]?key|private[ _-]?key|auth(?:orization)?"
-    r"|bearer|credentials?)[\"'\s:=!#$%&*|>]{1,24}$",
+    r"(?:token|(?:secret|auth(?:orization)?)(?:[ _-]?(?:key|id|value))?|encryption[ _-]?(?:key|id|value)|passw(?:or)?d|pwd|passphrase"
+    r"|api[ _-]?key|access[ _-]?key|private[ _-]?key|bearer|credentials?)[\"'\s:=!#$%&*|>]{1,24}$",
     re.IGNORECASE,
 )
 _HEX = re.compile(r"[0-9a-fA-F]+\Z")

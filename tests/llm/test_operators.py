@@ -382,6 +382,17 @@ def test_secrets_directly_after_an_assignment_sign(encoder):
         assert secrets.scan_text(clean, count) == [], clean
 
 
+def test_keys_of_a_digest_length_count_where_they_are_named(encoder):
+    count = lambda s: len(encoder.encode_ordinary(s))
+    r = random.Random(8)
+    for name in ("secret_key", "SECRET KEY", "auth_key", "encryption_key", "auth-id", "client_secret_value", "secret", "auth"):
+        for n in (32, 40, 64):
+            key = "".join(r.choice("0123456789abcdef") for _ in range(n))
+            found = secrets.scan_text(f'{name} = "{key}"', count)
+            assert [(x[2], x[5]) for x in found] == [(key, True)], name
+            assert secrets.scan_text(f'checksum = "{key}"', count) == []
+
+
 def test_pick_prefers_the_exact_name(spark):
     df = spark.createDataFrame([(1, "a", "b")], "doc_id long, Text string, text string")
     assert tuple(pick(df, "doc_id", "text").first()) == (1, "b")
