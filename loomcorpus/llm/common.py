@@ -40,13 +40,16 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir of the session.
 
-    Only where the session names none (tests, local runs) a temporary folder is set.
+    Only where the session names none and runs on this machine alone (tests, local runs) a temporary
+    folder is set; on a cluster that is an error, as executors would write where only they can read.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="loom-"))
     return sc.getCheckpointDir().rstrip("/")
 
@@ -58,12 +61,15 @@ class Shared:
     def __init__(self, spark: SparkSession, job: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{job}-{uuid.uuid4().hex}"
+        self.names: list[str] = []
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
     def table(self, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
         df.write.mode("overwrite").option("compression", codec).parquet(self.path(name))
+        if name not in self.names:
+            self.names.append(name)
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, name: str) -> None:
@@ -71,6 +77,12 @@ class Shared:
         jvm = self.spark.sparkContext._jvm
         path = jvm.org.apache.hadoop.fs.Path(self.path(name))
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        self.names.remove(name)
+
+    def only(self, *names: str) -> None:
+        """Deletes all tables but those that the result is read from."""
+        for name in [x for x in self.names if x not in names]:
+            self.drop(name)
 
 
 def release(spark: SparkSession) -> None:

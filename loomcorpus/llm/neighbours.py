@@ -1,15 +1,15 @@
-"""Nearest neighbours of every vector by forests of random-projection trees.
+"""Nearest neighbours by forests of random-projection trees.
 
-A trunk of hyperplanes through the mean of all vectors divides them into cells of a bounded size.
-Each cell has a forest of its own, whose trees split at medians of random projections. A query takes
-the leaves of all trees from one shared queue, the least margin first: those it lies in, and from
-then on all whose margin is within reach of the distance to its k-th neighbour so far; then it goes
-on to the other cells within that reach. What the leaves hold is reranked by exact distance. Margins
-of a whole block of queries are worked out at once, so the queue is a bound on margins; it yields
-the same leaves as taking them one by one."""
+A trunk tree, fitted to a bounded sample, divides all vectors into cells; every vector is indexed in
+its cell by a forest of trees, each node of which splits at the median along a random direction of
+its own. A query enters all trees of a cell through one shared priority queue: the branch with the
+least margin is followed next, whichever tree it is of. The leaves taken are reranked by exact
+distance, which tightens the reach; the queue ends at the first branch beyond it. With the distance
+found in its own cell a query goes on to the other cells within reach."""
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 from statistics import NormalDist
 
@@ -23,162 +23,130 @@ from .common import Shared, list_array, pick
 NAME = "op5_nearest_neighbours"
 SQL = None
 NEIGHBOURS = 10
+#: Queries are the rows whose id is divisible by this; all rows are indexed.
+EVERY = 100
 #: Vectors that a cell and a leaf hold about, and trees in a forest.
 CELL = 8192
 LEAF = 64
 TREES = 8
+#: Vectors that the trunk is fitted to at most (on the driver), and how many of them a cell has at least.
+SAMPLE = 1 << 18
+SAMPLE_CELL = 8
 #: Margins up to this share of the typical projection of the k-th distance are within reach in a
 #: forest. In the trunk, of which there is one only, the reach is such that a neighbour at that
 #: distance lies beyond any of its planes with at most this chance in all.
-REACH = 0.65
-TRUNK_MISS = 0.3
+REACH = 0.9
+TRUNK_MISS = 0.1
 SEED = 20_240_607
-#: Bits that the trunk goes deeper than cells of equal size would need.
-SPARE_BITS = 4
-_SPARE = 8
+#: Leaves that are reranked at once, and queries that meet a cell in one task at most.
+LEAVES = 16
 BLOCK = 1024
+QUERY_BLOCK = 1 << 16
 
 
-def directions(n: int, dim: int, seed: int) -> np.ndarray:
-    d = np.random.default_rng(seed).standard_normal((n, dim))
-    return (d / np.linalg.norm(d, axis=1, keepdims=True)).astype(np.float32)
+class Tree:
+    """A complete binary tree in heap order: node i has the children 2i + 1 and 2i + 2, a direction
+    and the median of what it was fitted to along it."""
+
+    def __init__(self, x: np.ndarray, depth: int, seed: int):
+        n, dim = x.shape
+        self.depth, inner = depth, (1 << depth) - 1
+        self.planes = np.random.default_rng(seed).standard_normal((inner, dim)).astype(np.float32)
+        self.planes /= np.maximum(np.linalg.norm(self.planes, axis=1, keepdims=True), 1e-12)
+        self.cuts = np.zeros(inner, np.float32)
+        node = np.zeros(n, np.int64)
+        for level in range(depth):
+            begin, width = (1 << level) - 1, 1 << level
+            at = np.einsum("ij,ij->i", x, self.planes[begin + node])
+            order = np.lexsort((at, node))
+            size = np.bincount(node, minlength=width)
+            first = np.cumsum(size) - size
+            half = first + size // 2
+            last = max(n - 1, 0)
+            self.cuts[begin : begin + width] = (at[order[np.clip(half - 1, 0, last)]] + at[order[np.clip(half, 0, last)]]) / 2 if n else 0
+            place = np.empty(n, np.int64)
+            place[order] = np.arange(n)
+            node = 2 * node + (place >= half[node])
+        self.leaf = node
+
+    def sides(self, q: np.ndarray) -> np.ndarray:
+        """Signed distance of each query from each node's cut."""
+        return q @ self.planes.T - self.cuts
+
+    def reached(self, x: np.ndarray, limit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(vector, leaf, own) of all leaves none of whose planes is crossed beyond the limit."""
+        who, node, own = np.arange(len(x)), np.zeros(len(x), np.int64), np.ones(len(x), bool)
+        for level in range(self.depth):
+            at = (1 << level) - 1 + node
+            side = np.einsum("ij,ij->i", x[who], self.planes[at]) - self.cuts[at]
+            bit, cross = (side >= 0).astype(np.int64), np.abs(side) <= limit[who]
+            node = np.concatenate([2 * node + bit, 2 * node[cross] + 1 - bit[cross]])
+            own = np.concatenate([own, np.zeros(int(cross.sum()), bool)])
+            who = np.concatenate([who, who[cross]])
+        return who, node, own
 
 
 class Forest:
-    """Trees over one cell's vectors; all nodes of a level share a direction, each has its median."""
+    """Trees over one cell's vectors."""
 
     def __init__(self, x: np.ndarray, trees: int, leaf: int, seed: int):
         self.x = np.ascontiguousarray(x, np.float32)
         self.square = np.einsum("ij,ij->i", self.x, self.x)
-        n, dim = x.shape
-        self.depth = max(0, int(np.ceil(np.log2(max(1, n / leaf)))))
-        self.planes = [directions(self.depth, dim, seed + t) for t in range(trees)]
-        self.cuts, self.members = [], []
-        for planes in self.planes:
-            node, cuts = np.zeros(n, np.int64), []
-            for level in range(self.depth):
-                at = self.x @ planes[level]
-                order = np.lexsort((at, node))
-                size = np.bincount(node, minlength=1 << level)
-                first = np.cumsum(size) - size
-                half = first + size // 2
-                low, high = order[np.clip(half - 1, 0, n - 1)], order[np.clip(half, 0, n - 1)]
-                cuts.append((at[low] + at[high]) / 2)
-                place = np.empty(n, np.int64)
-                place[order] = np.arange(n)
-                node = 2 * node + (place >= half[node])
-            order = np.argsort(node, kind="stable")
-            bounds = np.searchsorted(node[order], np.arange((1 << self.depth) + 1))
-            self.cuts.append(cuts)
+        self.depth = max(0, int(np.ceil(np.log2(max(1, len(x) / leaf)))))
+        self.trees = [Tree(self.x, self.depth, seed + t) for t in range(trees if self.depth else 1)]
+        self.members = []
+        for tree in self.trees:
+            order = np.argsort(tree.leaf, kind="stable")
+            bounds = np.searchsorted(tree.leaf[order], np.arange((1 << self.depth) + 1))
             self.members.append([order[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)])
 
-    def margins(self, q: np.ndarray, tree: int) -> np.ndarray:
-        """Of each query and leaf: the largest margin on the wrong side on the leaf's path."""
-        out = np.zeros((len(q), 1), np.float32)
-        for level in range(self.depth):
-            m = (q @ self.planes[tree][level])[:, None] - self.cuts[tree][level][None, :].astype(np.float32)
-            both = np.empty((len(q), 2 << level), np.float32)
-            both[:, 0::2] = np.maximum(out, m)
-            both[:, 1::2] = np.maximum(out, -m)
-            out = both
-        return out
-
-    def search(self, q: np.ndarray, mine: np.ndarray, bound: np.ndarray, k: int, reach: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(query, member, squared distance) of up to k neighbours of each query nearer than its
-        bound, nearest first; ``mine`` is the member that a query itself is, or -1."""
-        found = [self._block(q[a : a + BLOCK], mine[a : a + BLOCK], bound[a : a + BLOCK].copy(), k, reach, a) for a in range(0, len(q), BLOCK)]
-        return tuple(np.concatenate(c) for c in zip(*found, strict=True))
-
-    def _block(self, q, mine, bound, k, reach, base):  # noqa: ANN001, ANN202
-        q = np.ascontiguousarray(q, np.float32)
-        square = np.einsum("ij,ij->i", q, q)
-        margins = [self.margins(q, t) for t in range(len(self.planes))]
-        best = [m.argmin(axis=1) for m in margins]
-        keep_q, keep_m, keep_d = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32)
-        for first in (True, False):
-            parts = [(keep_q, keep_m, keep_d)]
-            if not first:
-                limit = reach * np.sqrt(np.where(np.isfinite(bound), np.maximum(bound, 0), np.inf) / q.shape[1])
-            for t, m in enumerate(margins):
-                if first:
-                    visit = np.zeros(m.shape, bool)
-                    visit[np.arange(len(q)), best[t]] = True
-                else:
-                    visit = m <= limit[:, None]
-                    visit[np.arange(len(q)), best[t]] = False
-                for leaf in np.flatnonzero(visit.any(axis=0)):
-                    who, own = np.flatnonzero(visit[:, leaf]), self.members[t][leaf]
-                    d = square[who, None] + self.square[own][None, :] - 2 * (q[who] @ self.x[own].T)
-                    a, b = np.nonzero(d <= bound[who, None] + 1e-4)
-                    parts.append((who[a], own[b], d[a, b]))
-            who, own, d = (np.concatenate(c) for c in zip(*parts, strict=True))
-            other = own != mine[who]
-            who, own, d = who[other], own[other], d[other]
-            if len(who):
-                one = np.unique(who * len(self.x) + own, return_index=True)[1]
-                who, own, d = who[one], own[one], d[one]
-            order = np.lexsort((d, who))
-            who, own, d = who[order], own[order], d[order]
-            start = np.searchsorted(who, np.arange(len(q) + 1))
-            nth = np.arange(len(who)) - start[who]
-            kth = start[:-1] + k - 1
-            full = kth < start[1:]
-            bound[full] = np.minimum(bound[full], d[kth[full]])
-            some = nth < k + _SPARE
-            keep_q, keep_m, keep_d = who[some], own[some], d[some]
-        exact = ((q[keep_q].astype(np.float64) - self.x[keep_m].astype(np.float64)) ** 2).sum(axis=1)
-        return keep_q + base, keep_m, exact
-
-
-class Trunk:
-    """Hyperplanes through the mean; cells are the prefixes of their signs that hold few enough."""
-
-    def __init__(self, mean: np.ndarray, bits: int, seed: int):
-        self.mean, self.bits = mean.astype(np.float32), bits
-        self.planes = directions(bits, len(mean), seed)
-        self.leaf: dict[int, set[int]] = {}
-
-    def sides(self, x: np.ndarray) -> np.ndarray:
-        return (x - self.mean) @ self.planes.T if self.bits else np.zeros((len(x), 0), np.float32)
-
-    def codes(self, x: np.ndarray) -> np.ndarray:
-        return (self.sides(x) > 0) @ (1 << np.arange(self.bits)[::-1]).astype(np.int64) if self.bits else np.zeros(len(x), np.int64)
-
-    def grow(self, counts: dict[int, int], cell: int) -> None:
-        """Sets the cells: at each level, the ids of the nodes (prefix with a leading 1) that end there."""
-        level = {(1 << self.bits) | c: n for c, n in counts.items()}
-        levels = [level]
-        for _ in range(self.bits):
-            up: dict[int, int] = {}
-            for node, n in level.items():
-                up[node >> 1] = up.get(node >> 1, 0) + n
-            level = up
-            levels.append(level)
-        open_ = {1}
-        for depth, nodes in enumerate(reversed(levels)):
-            ends = {x for x in open_ if nodes[x] <= cell or depth == self.bits}
-            self.leaf[depth] = ends
-            below = levels[self.bits - depth - 1] if depth < self.bits else {}
-            open_ = {y for x in open_ - ends for y in (2 * x, 2 * x + 1) if y in below}
-        self.sorted = {d: np.array(sorted(v), np.int64) for d, v in self.leaf.items()}
-
-    def reached(self, x: np.ndarray, limit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(vector, cell, own) of all cells whose planes on the way are crossed within the limit."""
-        sides = self.sides(x)
-        who, node, own = np.arange(len(x)), np.ones(len(x), np.int64), np.ones(len(x), bool)
-        out = []
-        for depth in range(self.bits + 1):
-            ends = self.sorted.get(depth, np.zeros(0, np.int64))
-            done = np.isin(node, ends)
-            out.append((who[done], node[done], own[done]))
-            who, node, own = who[~done], node[~done], own[~done]
-            if depth == self.bits:
-                break
-            side = sides[who, depth]
-            bit = (side > 0).astype(np.int64)
-            cross = np.abs(side) <= limit[who]
-            who, node, own = np.concatenate([who, who[cross]]), np.concatenate([2 * node + bit, 2 * node[cross] + 1 - bit[cross]]), np.concatenate([own, np.zeros(int(cross.sum()), bool)])
-        return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+    def search(self, q: np.ndarray, bound: np.ndarray, k: int, reach: float) -> list[np.ndarray]:
+        """For each query the members that may be among its k nearest within its bound (squared)."""
+        found = []
+        for a in range(0, len(q), BLOCK):
+            block = np.ascontiguousarray(q[a : a + BLOCK], np.float32)
+            sides = [t.sides(block) for t in self.trees]
+            for i in range(len(block)):
+                found.append(self._one(block[i], [s[i].tolist() for s in sides], float(bound[a + i]), k, reach))
+        return found
+
+    def _one(self, q: np.ndarray, sides: list[list[float]], bound: float, k: int, reach: float) -> np.ndarray:
+        inner = (1 << self.depth) - 1
+        own = float(q @ q)
+        blur = 1e-5 * (own + 1)  # float32 rounding; what it lets through is told apart exactly later
+        limit = reach * np.sqrt(max(bound, 0.0) / len(q))
+        queue = [(0.0, t, 0) for t in range(len(self.trees))]
+        seen = np.zeros(len(self.x), bool)
+        near, dist = np.zeros(0, np.int64), np.zeros(0, np.float32)
+        taken: list[np.ndarray] = []
+        while True:
+            done = not queue or queue[0][0] > limit
+            if taken and (done or len(taken) >= LEAVES):
+                new = np.concatenate(taken)
+                new = np.unique(new[~seen[new]])
+                taken = []
+                seen[new] = True
+                d = own + self.square[new] - 2 * (self.x[new] @ q)
+                slack = blur + 1e-5 * self.square[new]
+                some = d <= bound + slack
+                near, dist = np.concatenate([near, new[some]]), np.concatenate([dist, d[some]])
+                if len(near) > k:
+                    bound = min(bound, max(float(np.partition(dist, k)[k]), 0.0))
+                    limit = reach * np.sqrt(bound / len(q))
+                    some = dist <= bound + blur + 1e-5 * self.square[near]
+                    near, dist = near[some], dist[some]
+                continue
+            if done:
+                return near
+            margin, t, node = heapq.heappop(queue)
+            side = sides[t]
+            while node < inner:
+                s = side[node]
+                far = max(margin, abs(s))
+                if far <= limit:
+                    heapq.heappush(queue, (far, t, 2 * node + 1 if s >= 0 else 2 * node + 2))
+                node = 2 * node + 2 if s >= 0 else 2 * node + 1
+            taken.append(self.members[t][node - inner])
 
 
 def _matrix(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
@@ -187,20 +155,52 @@ def _matrix(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(-1, dim)
 
 
-_LIST = pa.list_(pa.float32())
-_FOUND = pa.schema([("vec_id", pa.int64()), ("v", _LIST), ("cell", pa.int64()), ("bound", pa.float64()), ("ids", pa.list_(pa.int64())), ("d", pa.list_(pa.float64()))])
-_DDL = "vec_id bigint, v array<float>, cell bigint, bound double, ids array<bigint>, d array<double>"
-
-
-def nearest(df: DataFrame, k: int = NEIGHBOURS, cell: int = CELL, leaf: int = LEAF, trees: int = TREES, reach: float = REACH, trunk_miss: float = TRUNK_MISS) -> DataFrame:
-    """vec_id, rank, neighbour_id, distance: the k nearest others of every vector by Euclidean
-    distance, rank 1 nearest; equal distances by id.
+_LIST, _IDS = pa.list_(pa.float32()), pa.list_(pa.int64())
+_PLACED = "cell bigint, part bigint, v array<float>, ids array<bigint>"
+_ASKED = "vec_id bigint, v array<float>, bound double, cell bigint"
+_FOUND = pa.schema([("vec_id", pa.int64()), ("v", _LIST), ("bound", pa.float64()), ("ids", _IDS), ("d", pa.list_(pa.float64()))])
+
+
+def _answer(members: pa.Table, queries: pa.Table, dim: int, k: int, trees: int, leaf: int, reach: float) -> pa.Table:
+    """The k nearest ids of each query in one cell, by exact distance, then id."""
+    if not members.num_rows or not queries.num_rows:
+        return _FOUND.empty_table()
+    x, q = _matrix(members["v"], dim), _matrix(queries["v"], dim)
+    copies, asked, bound = members["ids"].combine_chunks(), queries["vec_id"].to_numpy(), queries["bound"].to_numpy()
+    start, ids = copies.offsets.to_numpy() - copies.offsets[0].as_py(), copies.flatten().to_numpy()
+    sizes, dists, neighbours, bounds = [], [], [], []
+    for i, near in enumerate(Forest(x, trees, leaf, SEED + 1).search(q, bound, k, reach)):
+        exact = ((x[near].astype(np.float64) - q[i].astype(np.float64)) ** 2).sum(axis=1)
+        many = start[near + 1] - start[near]
+        at = np.repeat(start[near] - np.cumsum(many) + many, many) + np.arange(int(many.sum()))
+        who, d = ids[at], np.repeat(exact, many)
+        other = who != asked[i]
+        who, d = who[other], d[other]
+        by = np.lexsort((who, d))[:k]
+        sizes.append(len(by))
+        neighbours.append(who[by])
+        dists.append(d[by])
+        bounds.append(float(d[by[-1]]) if len(by) == k else float(bound[i]))
+    cols = [queries["vec_id"].combine_chunks(), queries["v"].combine_chunks(), pa.array(bounds, pa.float64()), list_array(np.concatenate(neighbours), sizes, pa.int64()), list_array(np.concatenate(dists), sizes, pa.float64())]
+    return pa.Table.from_arrays(cols, schema=_FOUND)
+
+
+def nearest(df: DataFrame, k: int = NEIGHBOURS, cell: int = CELL, leaf: int = LEAF, trees: int = TREES, reach: float = REACH, trunk_miss: float = TRUNK_MISS, every: int = EVERY, sample: int = SAMPLE, query_block: int = QUERY_BLOCK) -> DataFrame:
+    """vec_id, rank, neighbour_id, distance: the k nearest others, by Euclidean distance, of every
+    vector whose id is divisible by ``every``, searched in all vectors; rank 1 is nearest, equal
+    distances go by id.
 
     Approximate: a neighbour is missed where it lies beyond the reach in every tree. Rows with a null
     id, a null or empty vector, or a null or infinite component have no neighbours and are none; nor
     do vectors whose length isn't the table's most frequent one. Rows with the same id are one vector
-    (the smallest). Equal vectors are neighbours at distance 0. A table of one vector, or none, gives
-    an empty result, one of fewer than k + 1 all others. Extra columns are ignored.
+    (the smallest). Equal vectors are neighbours at distance 0; they are one entry of the index with
+    their k + 1 smallest ids, as no others can be among the k nearest of anything. A table of one
+    vector, or none, gives an empty result, one of fewer than k + 1 all others. Extra columns are
+    ignored.
+
+    The trunk is fitted to at most about ``sample`` vectors, drawn by a hash of their ids. Cells that
+    come out over twice ``cell`` are divided by hash, and the queries go to each part; queries of one
+    cell beyond ``query_block`` are divided likewise.
     """
     spark = df.sparkSession
     shared = Shared(spark, "neighbours")
@@ -208,71 +208,65 @@ def nearest(df: DataFrame, k: int = NEIGHBOURS, cell: int = CELL, leaf: int = LE
     fit = raw.filter("vec_id is not null and size(v) > 0").filter(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(1e18))))
     vectors = shared.table(fit.groupBy("vec_id").agg(F.min("v").alias("v")), "vectors")
     sizes = vectors.groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
-    dim, n = (sizes["dim"], sizes["count"]) if sizes else (1, 0)
+    dim = sizes["dim"] if sizes else 1
     vectors = vectors.filter(F.size("v") == dim)
-
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(dim)
-        for b in batches:
-            total += _matrix(b["v"], dim).sum(axis=0, dtype=np.float64)
-        yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], names=["s"])
-
-    summed = vectors.select("v").mapInArrow(sums, "s array<double>").select(F.posexplode("s").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x"))
-    mean = np.zeros(dim)
-    for r in summed.collect():  # one row a dimension
-        mean[r.i] = r.x / max(n, 1)
-    bits = 0 if n <= cell else int(np.ceil(np.log2(n / cell))) + SPARE_BITS
-    trunk = Trunk(mean, bits, SEED)
-    trunk_reach = NormalDist().inv_cdf(1 - min(trunk_miss / max(bits, 1), 0.5))
-
-    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(trunk.codes(_matrix(b["v"], dim)))], names=["code"])
-
-    counts = {r.code: r["count"] for r in vectors.select("v").mapInArrow(coded, "code bigint").groupBy("code").count().collect()} if bits else {0: n}
-    trunk.grow(counts, cell)  # at most 2^SPARE_BITS entries a cell
-    own_schema = pa.schema([("vec_id", pa.int64()), ("v", _LIST), ("cell", pa.int64()), ("bound", pa.float64())])
-
-    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x = _matrix(b["v"], dim)
-            who, node, _ = trunk.reached(x, np.full(len(x), -1.0, np.float32))
-            yield pa.RecordBatch.from_arrays([b["vec_id"].take(pa.array(who)), b["v"].take(pa.array(who)), pa.array(node), pa.array(np.full(len(who), np.inf))], schema=own_schema)
-
-    def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    nth = F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))
+    one = vectors.withColumn("nth", nth).filter(F.col("nth") <= k + 1).groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
+    one = shared.table(one.select("v", "ids", F.xxhash64(F.col("ids")[0], F.lit(SEED)).alias("h")), "distinct")
+    n = one.count()
+    drawn = one.filter(F.pmod("h", F.lit(1 << 32)) < int(min(1.0, sample / max(n, 1)) * (1 << 32))).select("v", "h").toArrow()
+    x = _matrix(drawn["v"], dim)[np.argsort(drawn["h"].to_numpy(), kind="stable")]
+    depth = max(0, min(int(np.ceil(np.log2(max(n, 1) / cell))), int(np.log2(max(len(x) / SAMPLE_CELL, 1)))))
+    trunk = spark.sparkContext.broadcast(Tree(x, depth, SEED))  # at most a plane for SAMPLE_CELL vectors of the sample
+    trunk_reach = NormalDist().inv_cdf(1 - min(trunk_miss / max(depth, 1), 0.5))
+    own = np.float32(-1)
+
+    def placing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = _matrix(b["v"], dim)
-            bound = b["bound"].to_numpy()
-            who, node, mine = trunk.reached(x, (trunk_reach * np.sqrt(bound / dim)).astype(np.float32))
-            who, node = who[~mine], node[~mine]
-            yield pa.RecordBatch.from_arrays([b["vec_id"].take(pa.array(who)), b["v"].take(pa.array(who)), pa.array(node), pa.array(bound[who])], schema=own_schema)
-
-    def answer(members: pa.Table, queries: pa.Table) -> pa.Table:
-        if not members.num_rows or not queries.num_rows:
-            return _FOUND.empty_table()
-        forest = Forest(_matrix(members["v"], dim), trees, leaf, SEED + 1)
-        ids, asked = members["vec_id"].to_numpy(), queries["vec_id"].to_numpy()
-        order = np.argsort(ids)
-        at = order[np.minimum(np.searchsorted(ids[order], asked), len(ids) - 1)]
-        who, member, d = forest.search(_matrix(queries["v"], dim), np.where(ids[at] == asked, at, -1), queries["bound"].to_numpy(), k, reach)
-        by = np.lexsort((ids[member], d, who))
-        who, member, d = who[by], member[by], d[by]
-        start = np.searchsorted(who, np.arange(len(asked) + 1))
-        some = np.arange(len(who)) - start[who] < k
-        who, member, d = who[some], member[some], d[some]
-        size = np.bincount(who, minlength=len(asked))
-        last = np.cumsum(size) - 1
-        bound = np.where(size == k, d[np.maximum(last, 0)] if len(d) else np.inf, np.inf)
-        cols = [queries["vec_id"], queries["v"], queries["cell"], pa.array(bound), list_array(ids[member], size, pa.int64()), list_array(d, size, pa.float64())]
-        return pa.Table.from_arrays(cols, schema=_FOUND)
-
-    placed = shared.table(vectors.mapInArrow(own, "vec_id bigint, v array<float>, cell bigint, bound double"), "placed")
-    first = shared.table(placed.groupBy("cell").applyInArrow(lambda t: answer(t, t), _DDL), "first")
+            node = trunk.value.reached(x, np.full(len(x), own))[1]
+            yield pa.RecordBatch.from_arrays([pa.array(node), b["h"], b["v"], b["ids"]], names=["cell", "part", "v", "ids"])
+
+    placed = shared.table(one.mapInArrow(placing, _PLACED), "placed")
+    parts = {r.cell: -(-r["count"] // (2 * cell)) for r in placed.groupBy("cell").count().collect()}  # one row a cell
+
+    def several(of: dict[int, int], c: str = "cell"):  # noqa: ANN202
+        """How many parts a cell has: 1 but for those that are divided."""
+        more = [F.lit(v) for k, n in of.items() if n > 1 for v in (k, n)]
+        return F.coalesce(F.element_at(F.create_map(*more), F.col(c)), F.lit(1)) if more else F.lit(1)
+
+    placed = placed.withColumn("part", F.pmod("part", several(parts)))
+
+    def going(whole: bool):  # noqa: ANN202
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                x, bound = _matrix(b["v"], dim), b["bound"].to_numpy()
+                limit = np.full(len(x), own) if whole else (trunk_reach * np.sqrt(bound / dim)).astype(np.float32)
+                who, node, mine = trunk.value.reached(x, limit)
+                if not whole:
+                    who, node = who[~mine], node[~mine]
+                at = pa.array(who)
+                yield pa.RecordBatch.from_arrays([b["vec_id"].take(at), b["v"].take(at), b["bound"].take(at), pa.array(node)], names=["vec_id", "v", "bound", "cell"])
+
+        return run
+
+    def searched(asked: DataFrame, name: str) -> DataFrame:
+        asked = shared.table(asked, f"{name}-asked")
+        blocks = {r.cell: -(-r["count"] // query_block) for r in asked.groupBy("cell").count().collect()}  # one row a cell
+        many = several(blocks)
+        asked = asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), many)).withColumn("part", F.explode(F.sequence(F.lit(0), several(parts) - 1)))
+        members = placed.withColumn("block", F.explode(F.sequence(F.lit(0), many - 1)))
+        by = [F.col("cell"), F.col("part").cast("long").alias("part"), F.col("block").cast("long").alias("block")]
+        met = members.groupBy(*by).cogroup(asked.groupBy(*by)).applyInArrow(lambda m, q: _answer(m, q, dim, k, trees, leaf, reach), "vec_id bigint, v array<float>, bound double, ids array<bigint>, d array<double>")
+        return shared.table(met, name)
+
+    queries = vectors.filter(F.pmod("vec_id", F.lit(every)) == 0).select("vec_id", "v", F.lit(float("inf")).alias("bound"))
+    first = searched(queries.mapInArrow(going(True), _ASKED), "first")
     found = first.select("vec_id", "ids", "d")
-    if sum(map(len, trunk.leaf.values())) > 1:
-        asked = first.select("vec_id", "v", "cell", "bound").mapInArrow(others, "vec_id bigint, v array<float>, cell bigint, bound double")
-        more = placed.groupBy("cell").cogroup(asked.groupBy("cell")).applyInArrow(answer, _DDL)
-        found = found.unionByName(more.select("vec_id", "ids", "d"))
+    if depth:
+        best = first.groupBy("vec_id").agg(F.min("bound").alias("bound"), F.first("v").alias("v")).select("vec_id", "v", "bound")
+        found = found.unionByName(searched(best.mapInArrow(going(False), _ASKED), "more").select("vec_id", "ids", "d"))
+    shared.only("first", "more")
     pairs = found.select("vec_id", F.explode(F.arrays_zip("ids", "d")).alias("p")).select("vec_id", F.col("p.ids").alias("neighbour_id"), F.col("p.d").alias("d2"))
     rank = F.row_number().over(Window.partitionBy("vec_id").orderBy("d2", "neighbour_id"))
     return pairs.withColumn("rank", rank).filter(F.col("rank") <= k).select("vec_id", "rank", "neighbour_id", F.sqrt("d2").alias("distance"))
