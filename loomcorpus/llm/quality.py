@@ -15,11 +15,24 @@ MIN_SEPARATORS = 3
 #: Signs that prose holds few of, and the share of a line's characters from which it is noise.
 NOISE = "#$%&*!~^<>{}="
 MAX_NOISE = 0.08
-#: A line ends a sentence: such a sign, and closing quotes or brackets.
-ENDING = r"[.!?…:;。！？]['\"”’»)\]]*$"
+#: A line ends a sentence: one of these signs (the sentence terminals of all scripts, colon and
+#: semicolon), and any number of closing quotes, brackets and spaces.
+TERMINALS = (
+    ".!?…:;。！？．｡；：‼‽⁇⁈⁉﹒﹖﹗։؛؝؞؟۔।॥၊။።፤፧፨។៕៖།༎༏༐߹܀܁܂᙮᠃᠉᥄᥅⸮⸼"
+    "࠷࠹࠽࠾᜵᜶᪨᪩᪪᪫᭚᭛᭞᭟᰻᰼᱾᱿꓿꘎꘏꛳꛷꡶꡷꣎꣏꤯꧈꧉꩝꩞꩟꫰꫱꯫"
+)
+CLOSING = "'\"”’»)]“«‘›‹」』）］】〉》〕｣ \u00a0\u202f"
+#: A sentence ends within a line.
+WITHIN = r"[.!?…।॥؟۔։።။།] |[。！？｡]"
+#: Signs of scripts that write sentences without an end mark (Thai, Lao, Khmer); a line with so many
+#: of them is not judged by its end.
+UNMARKED = r"(?:[\x{0e00}-\x{0eff}\x{1780}-\x{17ff}][^\x{0e00}-\x{0eff}\x{1780}-\x{17ff}]*){20}"
 BOILERPLATE = (
     r"all rights reserved|licensed under|terms of (use|service)|privacy policy|cookie policy|use of cookies"
     r"|enable javascript|lorem ipsum|click here|sign up for|subscribe to|powered by|back to top"
+    r"|tous droits réservés|mentions légales|politique de confidentialité|accepter les cookies|retour en haut"
+    r"|alle rechte vorbehalten|datenschutzerklärung|cookies akzeptieren|nach oben springen"
+    r"|todos los derechos reservados|política de privacidad|aceptar las cookies|volver arriba"
 )
 #: Words of a line that equal the word before them, as a share of its words, from which it is filler;
 #: lines with fewer words are not judged by it.
@@ -37,10 +50,16 @@ def _without(line: Column, signs: str) -> Column:
     return F.length(line) - F.length(F.translate(line, signs, ""))
 
 
+def _ended(line: Column) -> Column:
+    last = F.substring(F.rtrim(line, F.lit(CLOSING)), -1, 1)
+    return (last != F.lit("")) & (F.instr(F.lit(TERMINALS), last) > 0)
+
+
 def line_fault(line: Column) -> Column:
     """'navigation', 'boilerplate' or 'punctuation', the first rule in this order that a trimmed
     line fails; '' for a good line. Boilerplate is a stock phrase, or filler that repeats each word;
-    punctuation fails by too many signs, or where no sentence ends."""
+    punctuation fails by too many signs, or where no sentence ends (by the end marks of any script;
+    lines in scripts without such marks pass)."""
     words = F.split(line, " ", -1)
     n = F.size(words)
     echo = F.size(F.filter(F.arrays_zip(F.slice(words, 1, n - 1).alias("a"), F.slice(words, 2, n - 1).alias("b")), lambda z: z["a"] == z["b"]))
@@ -49,10 +68,7 @@ def line_fault(line: Column) -> Column:
         .when(F.lower(line).rlike(BOILERPLATE), "boilerplate")
         .when((n >= ECHO_WORDS) & (echo > MAX_ECHO * n), "boilerplate")
         .when(_without(line, NOISE) > MAX_NOISE * F.length(line), "punctuation")
-        .when(
-            ~F.substring(line, -8, 8).rlike(ENDING) & ~line.rlike(r"[.!?…] "),
-            "punctuation",
-        )
+        .when(~_ended(line) & ~line.rlike(WITHIN) & ~line.rlike(UNMARKED), "punctuation")
         .otherwise("")
     )
 
@@ -89,6 +105,9 @@ def clean_lines(df: DataFrame, max_lost: float = MAX_LOST, carry: tuple[str, ...
             chars("kept").alias("kept_chars"),
             F.array_join("kept", "\n").alias("text"),
         )
+        # a generator keeps what filters these columns later from standing for the rules a second time
+        .select(F.explode(F.array(F.struct("*"))).alias("r"))
+        .select("r.*")
         .select(
             "*",
             ((F.col("kept_chars") > 0) & (F.col("kept_chars") >= (1 - max_lost) * F.col("n_chars"))).alias("keep"),
@@ -128,7 +147,8 @@ FROM (
                     > {MAX_ECHO!r}::DOUBLE * len(string_split(x, ' ')) THEN 'boilerplate'
                WHEN length(x) - length(translate(x, '{NOISE}', '')) > {MAX_NOISE!r}::DOUBLE * length(x)
                  THEN 'punctuation'
-               WHEN NOT regexp_matches(substr(x, -8), '{_sql_text(ENDING)}') AND NOT regexp_matches(x, '[.!?…] ') THEN 'punctuation'
+               WHEN NOT (rtrim(x, '{_sql_text(CLOSING)}') <> '' AND contains('{_sql_text(TERMINALS)}', right(rtrim(x, '{_sql_text(CLOSING)}'), 1)))
+                 AND NOT regexp_matches(x, '{WITHIN}') AND NOT regexp_matches(x, '{UNMARKED}') THEN 'punctuation'
                ELSE '' END) AS faults
       FROM (
         SELECT doc_id, list_filter(list_transform(string_split(coalesce(text, ''), chr(10)),

@@ -1,5 +1,7 @@
 """Each operator against brute force, an exact round trip or planted cases, and over awkward tables."""
 
+import bisect
+import hashlib
 import itertools
 import math
 import random
@@ -88,6 +90,14 @@ def test_packing_places_every_token_once(spark, encoder):
         ("la la la la la la la la end.", "boilerplate"),
         ("A plain sentence. And one more", ""),
         ('He said "so."', ""),
+        ("Er sagte: „So ist es.“", ""),
+        ("« Oui.\u00a0»", ""),
+        ("Ends here.))))))))))))", ""),
+        ("यह पहला वाक्य है।", ""),
+        ("هل هذا سؤال؟", ""),
+        ("这是一个句子。还有一个", ""),
+        ("ประเทศไทยเป็นประเทศที่มีวัฒนธรรมยาวนานมาก", ""),
+        ("Alle Rechte vorbehalten.", "boilerplate"),
     ],
 )
 def test_line_rules(spark, line, fault):
@@ -366,15 +376,53 @@ def test_pairs_are_checked_alike_one_by_one_and_at_once():
     assert v.compatible(a, b).tolist() == [v.valid(int(x), int(y)) for x, y in zip(a, b)]
 
 
-def test_shards_are_even(spark):
-    rows = [(i, "x" * (17 * i % 3000), "", f"s{i % 3}", 0) for i in range(3000)]
-    out = sharding.shard(table(spark, rows), 100_000).collect()
-    assert len(out) == 3000
+def _shards(rows, target):
+    """Placement by the method, one row after the other."""
+    weigh = lambda r: len((r[1] or "").encode()) + sharding.RECORD_BYTES
+    step = max(1, target // sharding.SAMPLES_PER_SHARD)
+    hits = Counter()
+    for r in rows:
+        w = weigh(r)
+        offset = int(hashlib.md5(f"{'null' if r[0] is None else r[0]}|{w}".encode()).hexdigest()[:12], 16) % step
+        hits[(r[3] or "", -1 if r[0] is None else r[0])] += (w + offset) // step
+    h, ranges = sum(hits.values()), max(1, -(-sum(map(weigh, rows)) // target))
+    cuts, upto = [], 0
+    for key in sorted(k for k in hits if hits[k]):
+        before, upto = upto, upto + hits[key]
+        if before * ranges // h < upto * ranges // h and upto < h:
+            cuts.append(key)
+    at = defaultdict(list)
+    for r in rows:
+        key = (r[3] or "", -1 if r[0] is None else r[0])
+        at[bisect.bisect_left(cuts, key)].append((key, weigh(r), r[0] is None, r[0]))
+    out = Counter()
+    for i, some in at.items():
+        whole, before = sum(x[1] for x in some), 0
+        for _, w, _, d in sorted(some, key=lambda x: x[:3]):
+            out[(d, i, before // target if whole > int(sharding.OVERFULL * target) else 0, w)] += 1
+            before += w
+    return out
+
+
+@pytest.mark.parametrize("level, rows_a_task", [(sharding.LEVEL, sharding.SORTED_ROWS), (3, 40)])
+def test_shards_by_brute_force(spark, level, rows_a_task):
+    rows = [(i, "x" * (17 * i % 3000), "", f"s{i % 3}", 0) for i in range(600)]
+    rows += [(7, "same", "", "s1", 0)] * 400 + [(None, "y" * 50, "", None, 0)] * 9 + [(-1, "y" * 50, "", None, 0)] * 9 + [(800, "z" * 90_000, "", "s2", 0), (801, None, "", "s2", 0)]
+    got = Counter(tuple(r) for r in sharding.shard(table(spark, rows), 20_000, level=level, rows=rows_a_task).collect())
+    assert got == _shards(rows, 20_000)
+    assert len({r[1] for r in got}) > 20 and max(r[2] for r in got) > 0
     size = Counter()
-    for r in out:
-        size[(r.range_id, r.part)] += r.weight
-    assert max(size.values()) <= sharding.OVERFULL * 100_000 + 3100
-    assert len(size) >= sum(size.values()) // 125_000
+    for (_, i, part, w), n in got.items():
+        size[(i, part)] += n * w
+    assert max(v for k, v in size.items() if v < 90_000) <= sharding.OVERFULL * 20_000 + 3100
+
+
+def test_shards_are_written(spark, tmp_path):
+    rows = [(i, "x" * (17 * i % 3000), "en", f"s{i % 3}", 0) for i in range(300)] + [(7, "same", "en", "s1", 0)] * 200
+    sharding.write_shards(table(spark, rows), str(tmp_path / "s"), target=9_000)
+    back = spark.read.parquet(str(tmp_path / "s"))
+    assert Counter(tuple(r) for r in back.select("doc_id", "text", "lang", "source", "n_chars").collect()) == Counter(rows)
+    assert Counter((r.doc_id, r.range_id, r.part) for r in back.collect()) == Counter(k[:3] for k in _shards(rows, 9_000).elements())
 
 
 def test_secrets(spark):
