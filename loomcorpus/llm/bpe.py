@@ -21,7 +21,7 @@ ENCODED = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int32()), ("tokens"
 
 
 def encode_words(v: vocab.Vocab, words: list[str]) -> tuple[list[bytes], int]:
-    """The tokens of each word as 16-bit ids, and how many words had to be merged exactly."""
+    """The tokens of each word as ids of the vocabulary's width, and how many words had to be merged exactly."""
     raw = [w.encode() for w in words]
     joined = vocab.BREAK.join([w.decode("latin-1") for w in raw])
     matches = v.greedy(joined)
@@ -29,17 +29,17 @@ def encode_words(v: vocab.Vocab, words: list[str]) -> tuple[list[bytes], int]:
     ends = np.cumsum(np.array([len(w) + 1 for w in raw], np.int64))
     word = np.searchsorted(ends, end, side="right")
     inner = np.flatnonzero(word[1:] == word[:-1])
-    keys, back = np.unique(token[inner] << 16 | token[inner + 1], return_inverse=True)
-    ok = v.compatible(keys >> 16, keys & 0xFFFF)[back] if len(keys) else np.zeros(0, bool)
+    keys, back = np.unique(token[inner] << vocab.SHIFT | token[inner + 1], return_inverse=True)
+    ok = v.compatible(keys >> vocab.SHIFT, keys & ((1 << vocab.SHIFT) - 1))[back] if len(keys) else np.zeros(0, bool)
     failing = np.unique(word[inner[~ok]])
-    flat = token.astype(np.uint16).tobytes()
-    stops = (2 * np.searchsorted(word, np.arange(len(words)), side="right")).tolist()
+    flat = token.astype(v.kind).tobytes()
+    stops = (v.kind().itemsize * np.searchsorted(word, np.arange(len(words)), side="right")).tolist()
     parts, at = [], 0
     for stop in stops:
         parts.append(flat[at:stop])
         at = stop
     for i in failing.tolist():
-        parts[i] = array("H", v.exact(words[i], raw[i])).tobytes()
+        parts[i] = array(v.code, v.exact(words[i], raw[i])).tobytes()
     return parts, len(failing)
 
 
@@ -68,7 +68,7 @@ class Encoder:
             unique.update(words)
         self.learn(unique)
         get = self.known.__getitem__
-        return [np.frombuffer(b"".join(map(get, words)), np.uint16) for words in split]
+        return [np.frombuffer(b"".join(map(get, words)), self.vocab.kind) for words in split]
 
 
 _encoders: dict[str, Encoder] = {}

@@ -42,7 +42,7 @@ def word_prefixes(v: vocab.Vocab, word: bytes) -> list[int]:
             continue
         start = end + 1 - length
         if start:
-            ok = known.get(last[start] << 16 | token)
+            ok = known.get(last[start] << vocab.SHIFT | token)
             if ok is None:
                 ok = valid(last[start], token)
             if not ok:

@@ -19,30 +19,36 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 #: Break between words in a string of bytes written as characters; no token holds it.
 BREAK = "Ā"
 NONE = 1 << 30
+#: Bits of a token id: a pair of ids is one number.
+SHIFT = 20
 
 
 class Vocab:
-    """A rank file with what checking and merging need; ids must fit 16 bits."""
+    """A rank file with what checking and merging need; ids must be under 2^SHIFT, as those of all public vocabularies are."""
 
     def __init__(self, path: str):
         with open(path, "rb") as f:
             pairs = (line.split() for line in f if line.strip())
             self.ranks = {base64.b64decode(a): int(b) for a, b in pairs}
         self.size = max(self.ranks.values()) + 1
-        if self.size > 1 << 16:
-            raise ValueError("token ids must fit 16 bits")
+        if self.size > 1 << SHIFT:
+            raise ValueError(f"token ids must be under {1 << SHIFT}")
+        self.kind, self.code = (np.uint16, "H") if self.size <= 1 << 16 else (np.uint32, "I")
         self.tokens: list[bytes] = [b""] * self.size
         for token, rank in self.ranks.items():
             self.tokens[rank] = token
         left = np.arange(self.size, dtype=np.int64)
         right = left.copy()
         self.pairs: dict[int, int] = {}
+        self.made = set(self.ranks)  # tokens that merging can make; all are in a trained vocabulary
         for token, rank in self.ranks.items():
             if len(token) > 1:
                 parts = self._merge(token, rank)
-                if len(parts) == 2:
+                if len(parts) != 2:
+                    self.made.discard(token)
+                else:
                     left[rank], right[rank] = parts
-                    self.pairs[parts[0] << 16 | parts[1]] = rank
+                    self.pairs[parts[0] << SHIFT | parts[1]] = rank
         self.left, self.right = left, right
         keys = np.array(sorted(self.pairs), np.int64)
         self.pair_keys = keys
@@ -106,7 +112,7 @@ class Vocab:
     def valid(self, a: int, b: int) -> bool:
         """Whether a text that ends with token a is followed by token b in exact merging: no merge
         across the border comes before the merges that built a and b."""
-        key = a << 16 | b
+        key = a << SHIFT | b
         got = self.known_pairs.get(key)
         if got is None:
             if len(self.known_pairs) > 400_000:
@@ -117,7 +123,7 @@ class Vocab:
     def _compatible(self, a: int, b: int) -> bool:
         pairs, left, right, limit = self.pairs, self._left, self._right, NONE
         while True:
-            if pairs.get(a << 16 | b, NONE) < limit:
+            if pairs.get(a << SHIFT | b, NONE) < limit:
                 return False
             if a > b:
                 limit, a = a, right[a]
@@ -140,7 +146,7 @@ class Vocab:
         a, b = a.astype(np.int64), b.astype(np.int64)
         limit = np.full(n, NONE, np.int64)
         while len(idx):
-            key = a << 16 | b
+            key = a << SHIFT | b
             at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
             merged = np.where(self.pair_keys[at] == key, self.pair_ranks[at], NONE)
             bad = merged < limit
@@ -165,8 +171,8 @@ class Vocab:
         import ahocorasick
 
         found = ahocorasick.Automaton()
-        for token, rank in self.ranks.items():
-            found.add_word(token.decode("latin-1"), (rank, len(token)))
+        for token in self.made:
+            found.add_word(token.decode("latin-1"), (self.ranks[token], len(token)))
         found.make_automaton()
         return found
 
@@ -175,8 +181,8 @@ class Vocab:
         import ahocorasick
 
         found = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-        for token, rank in self.ranks.items():
-            found.add_word(token.decode("latin-1"), rank)
+        for token in self.made:
+            found.add_word(token.decode("latin-1"), self.ranks[token])
         found.make_automaton()
         return found
 

@@ -1,5 +1,6 @@
 """Each operator against brute force, an exact round trip or planted cases, and over awkward tables."""
 
+import base64
 import bisect
 import hashlib
 import itertools
@@ -246,42 +247,87 @@ def test_neighbours_of_awkward_vectors(spark):
     assert neighbours.nearest(df.filter("vec_id = 1"), every=1).collect() == []
 
 
-def test_language_model_by_brute_force(spark, encoder):
-    texts = {i: prose(100 + i % 7, 40 + i) for i in range(60)}
-    df = table(spark, [(i, t, "", "", 0) for i, t in texts.items()])
-    held = {r.doc_id for r in df.filter(F.pmod(F.xxhash64("doc_id"), F.lit(4)) == 0).collect()}
+def _scores(rows, held, encoder, rounds):
+    """log_prob of every (id, text) row by the counts of all others, one token after the other."""
     size = encoder.max_token_value + 1
-    grams = {i: list(zip([size, *t[:-1]], t)) for i, x in texts.items() if (t := encoder.encode_ordinary(x)) is not None}
-    c2 = Counter(g for i, gs in grams.items() if i not in held for g in gs)
-    c1, cc = Counter(), Counter()
-    for (a, b), n in c2.items():
-        c1[b] += n
-        cc[a] += n
-    total = sum(c1.values())
-    bucket = lambda a: cc[a].bit_length()
+    grams = [list(zip([size, *t[:-1]], t)) for _, x in rows for t in [encoder.encode_ordinary(x)]]
+
+    def counts(some):
+        c2 = Counter(g for gs in some for g in gs)
+        c1, cc = Counter(), Counter()
+        for (a, b), n in c2.items():
+            c1[b] += n
+            cc[a] += n
+        return c2, c1, cc, sum(c1.values())
+
+    def parts(g, m):
+        c2, c1, cc, total = m
+        return [c2[g] / cc[g[0]] if cc[g[0]] else 0, c1[g[1]] / total if total else 0, 1 / size]
+
+    trained = counts([gs for gs, (i, _) in zip(grams, rows) if i not in held])
+    heldout = Counter(g for gs, (i, _) in zip(grams, rows) if i in held for g in gs)
     w = defaultdict(lambda: [1 / 3] * 3)
-    heldout = Counter(g for i in held for g in grams[i])
-    parts = lambda g: [c2[g] / cc[g[0]] if cc[g[0]] else 0, c1[g[1]] / total, 1 / size]
-    for _ in range(5):
+    for _ in range(rounds):
         sums = defaultdict(lambda: [0.0] * 3)
         for g, n in heldout.items():
-            s = [x * p for x, p in zip(w[bucket(g[0])], parts(g))]
+            b = trained[2][g[0]].bit_length()
+            s = [x * p for x, p in zip(w[b], parts(g, trained))]
             for j in range(3):
-                sums[bucket(g[0])][j] += n * s[j] / sum(s)
+                sums[b][j] += n * s[j] / sum(s)
         for b, s in sums.items():
+            s = [max(x / sum(s), language_model.LEAST) for x in s]
             w[b] = [x / sum(s) for x in s]
+    out = []
+    for j in range(len(rows)):
+        m = counts(grams[:j] + grams[j + 1 :])
+        total = 0.0
+        for g in grams[j]:
+            k = list(w[m[2][g[0]].bit_length()])
+            k = [k[0] * (m[2][g[0]] > 0), k[1] * (m[3] > 0), k[2]]
+            total += math.log(sum(x * p for x, p in zip(k, parts(g, m))) / sum(k))
+        out.append(total)
+    return out
+
+
+@pytest.mark.parametrize("sent", [10**6, 0])
+def test_language_model_by_brute_force(spark, encoder, monkeypatch, sent):
+    rows = [(i, prose(100 + i % 7, 40 + i)) for i in range(40)] + [(3, prose(103, 43)), (50, "only here, once")]
+    df = table(spark, [(i, t, "", "", 0) for i, t in rows])
+    held = {r.doc_id for r in df.filter(F.pmod(F.xxhash64("doc_id"), F.lit(4)) == 0).collect()}
+    monkeypatch.setattr(language_model, "SETTLED", -1)
+    got = sorted((r.doc_id, r.log_prob) for r in language_model.score(df, held_out=4, rounds=5, sent_bigrams=sent).collect())
+    want = sorted((i, p) for (i, _), p in zip(rows, _scores(rows, held, encoder, 5)))
+    assert [i for i, _ in got] == [i for i, _ in want]
+    assert all(abs(a - b) < 1e-6 * max(1, abs(b)) for (_, a), (_, b) in zip(got, want))
+
+
+def test_the_only_text_is_new_to_the_model(spark, encoder):
+    r = language_model.score(table(spark, [(1, "a b c", "", "", 0)])).first()
+    assert abs(r.perplexity - (encoder.max_token_value + 1)) < 1e-3
 
-    def logp(g):
-        k = w[bucket(g[0])]
-        return math.log(sum(x * p for x, p in zip(k, parts(g))) / (1 if cc[g[0]] else max(k[1] + k[2], 1e-12)))
-
-    language_model.SETTLED, kept = -1, language_model.SETTLED
-    try:
-        for sent in (10**6, 0):
-            for r in language_model.score(df, held_out=4, rounds=5, sent_bigrams=sent).collect():
-                assert abs(r.log_prob - sum(map(logp, grams[r.doc_id]))) < 1e-6 * max(1, abs(r.log_prob))
-    finally:
-        language_model.SETTLED = kept
+
+def test_ids_beyond_16_bits(spark, tmp_path, encoder):
+    v = vocab.load(vocab.vocabulary_path())
+    ranks = dict(v.ranks)
+    for a, b in itertools.product(range(300, 20_000, 61), range(256, 20_000, 67)):
+        token = v.tokens[a] + v.tokens[b]
+        if token not in ranks and len(ranks) < 66_000 and v.merge(token) == [a, b]:
+            ranks[token] = len(ranks)
+    assert len(ranks) == 66_000
+    path = tmp_path / "wide.tiktoken"
+    path.write_bytes(b"\n".join(base64.b64encode(t) + b" %d" % n for t, n in ranks.items()))
+    wide = vocab.encoding(str(path))
+    texts = [COPY, "".join(x.decode("utf-8", "ignore") for x in list(ranks)[65_550:65_900]), "a b"]
+    df = table(spark, [(i, t, "", "", 0) for i, t in enumerate(texts)])
+    got = {r.doc_id: r.tokens for r in bpe.encode(df, str(path)).collect()}
+    assert all(got[i] == wide.encode_ordinary(t) for i, t in enumerate(texts)) and max(got[1]) > 1 << 16
+    for r in token_counts.store(df, 5, str(path)).collect():
+        some = texts[r.doc_id][:300]
+        assert token_counts.counts_of(r.changes, r.width).tolist()[: len(some)] == [len(wide.encode_ordinary(some[: k + 1])) for k in range(len(some))]
+    want = _scores(list(enumerate(texts)), {r.doc_id for r in df.filter(F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0).collect()}, wide, 3)
+    for sent in (10**6, 0):
+        got = {r.doc_id: r.log_prob for r in language_model.score(df, str(path), 2, 3, sent).collect()}
+        assert all(abs(got[i] - p) < 1e-3 * abs(p) for i, p in enumerate(want))
 
 
 def _overlap(a, b, k=near_dedup.SHINGLE):
