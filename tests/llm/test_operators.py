@@ -339,7 +339,32 @@ def _overlap(a, b, k=near_dedup.SHINGLE):
     return sum((x & y).values()) / max(1, sum((x | y).values()))
 
 
-def test_near_duplicates_by_brute_force(spark):
+def _groups(texts, near):
+    """Label of each id when all pairs that are near are connected."""
+    label = {i: i for i in texts}
+    for a, b in itertools.combinations(texts, 2):
+        if near(a, b):
+            x, y = sorted((label[a], label[b]))
+            label = {k: x if v == y else v for k, v in label.items()}
+    return label
+
+
+def _check_groups(rows, texts, near):
+    label = _groups(texts, near)
+    sizes, copies = Counter(label.values()), {i: sum(t == u for u in texts.values()) for i, t in texts.items()}
+    assert {(x.doc_id, x.group_id, x.keep, x.copies) for x in rows} == {(i, g, i == g, copies[i]) for i, g in label.items() if sizes[g] > 1}
+    assert all(x.links or x.copies > 1 for x in rows)
+    return label
+
+
+#: The ways of small sets, and those of large ones: joins, blocks of a bucket, labels passed along edges.
+SMALL, LARGE = {}, {"SENT_IDS": 0, "SENT_EDGES": 0, "TOGETHER": 3}
+
+
+@pytest.mark.parametrize("bounds", [SMALL, LARGE])
+def test_near_duplicates_by_brute_force(spark, monkeypatch, bounds):
+    for k, v in bounds.items():
+        monkeypatch.setattr(near_dedup, k, v)
     r = random.Random(11)
     texts = {}
     for g in range(12):
@@ -349,23 +374,19 @@ def test_near_duplicates_by_brute_force(spark):
             w = base[:]
             for _ in range(len(w) // 40):
                 w[r.randrange(len(w))] = "changed"
-            texts[len(texts)] = " ".join(w).upper()
+            texts[len(texts)] = " ".join(w)
     for i in range(25):
         texts[len(texts)] = prose(900 + i, 60)
-    label = {i: i for i in texts}
-    for a, b in itertools.combinations(texts, 2):
-        if _overlap(texts[a], texts[b]) >= near_dedup.OVERLAP:
-            x, y = sorted((label[a], label[b]))
-            label = {k: x if v == y else v for k, v in label.items()}
-    sizes = Counter(label.values())
-    want = {(i, g, i == g) for i, g in label.items() if sizes[g] > 1}
     df = table(spark, [(i, t, "", "", 0) for i, t in texts.items()])
-    assert {tuple(x) for x in near_dedup.near_groups(df).collect()} == want
+    label = _check_groups(near_dedup.near_groups(df, block=2 if bounds else near_dedup.BLOCK).collect(), texts, lambda a, b: _overlap(texts[a], texts[b]) >= near_dedup.OVERLAP)
     kept = {x.doc_id for x in near_dedup.one_of_each(df).collect()}
     assert kept == set(label.values())
+    upper = table(spark, [(i, t.upper(), "", "", 0) for i, t in texts.items()])
+    assert {x.doc_id for x in near_dedup.one_of_each(upper).collect()} == kept
 
 
-def test_originals_with_the_largest_id_join_their_copies(spark):
+@pytest.mark.parametrize("block", [near_dedup.BLOCK, 3])
+def test_originals_with_the_largest_id_join_their_copies(spark, block):
     r = random.Random(23)
     texts = {}
     for g in range(40):
@@ -377,14 +398,22 @@ def test_originals_with_the_largest_id_join_their_copies(spark):
             texts[len(texts)] = " ".join(w)
         texts[1000 + g] = " ".join(base)
     df = table(spark, [(i, t, "", "", 0) for i, t in texts.items()])
-    bands = {x.doc_id: x.bands for x in near_dedup.banded(df).collect()}
-    label = {i: i for i in texts}
-    for a, b in itertools.combinations(texts, 2):
-        if any(x == y for x, y in zip(bands[a], bands[b], strict=True)) and _overlap(texts[a], texts[b]) >= near_dedup.OVERLAP:
-            x, y = sorted((label[a], label[b]))
-            label = {k: x if v == y else v for k, v in label.items()}
-    sizes = Counter(label.values())
-    assert {tuple(x) for x in near_dedup.near_groups(df).collect()} == {(i, g, i == g) for i, g in label.items() if sizes[g] > 1}
+    signed = {x.doc_id: x for x in near_dedup.banded(df).collect()}
+
+    def near(a, b):
+        x, y = signed[a], signed[b]
+        same = (np.frombuffer(x.sig, np.uint16) == np.frombuffer(y.sig, np.uint16)).sum()
+        return same >= near_dedup.AGREE and set(x.bands) & set(y.bands) and _overlap(texts[a], texts[b]) >= near_dedup.OVERLAP
+
+    _check_groups(near_dedup.near_groups(df, block=block).collect(), texts, near)
+
+
+def test_texts_of_one_template_are_no_copies(spark):
+    core = prose(77, 60)
+    texts = {i: core + " " + prose(3000 + i, 70) for i in range(300)}
+    texts[300] = core + " " + prose(3005, 70) + " more."
+    got = near_dedup.near_groups(table(spark, [(i, t, "", "", 0) for i, t in texts.items()]), block=50).collect()
+    assert {(x.doc_id, x.group_id, x.links) for x in got} == {(5, 5, 1), (300, 5, 1)}
 
 
 def test_signatures_estimate_weighted_jaccard():
