@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import vocab
-from .common import documents, pick
+from .common import DOCUMENT_COLUMNS, documents, pick, slices
 
 NAME = "op10_secret_scan"
 SQL = None
@@ -84,18 +84,20 @@ def find_secrets(df: DataFrame, max_ratio: float = MAX_RATIO, vocabulary: str |
     """doc_id, start, stop, secret, n_tokens, ratio, named of every finding in every text.
 
     start and stop are character offsets. Only rows with a candidate reach Python. A null or
-    empty text has no findings; repeated rows give repeated findings; a null doc_id stays null;
-    extra columns are ignored; an empty table gives an empty result.
+    empty text has no findings; repeated rows give repeated findings, and a secret that a text holds
+    twice is found twice; a null doc_id stays null; a ratio of just ``max_ratio`` counts; extra
+    columns are ignored; an empty table gives an empty result. Texts are searched whole, however
+    long, a bounded slice of the rows at a time.
     """
     path = vocabulary or vocab.vocabulary_path()
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = vocab.encoding(path)
         count = lambda s: len(encoder.encode_ordinary(s))
-        for batch in batches:
+        for part in (p for batch in batches for p in slices(batch, "text")):
             rows = [
                 (i, *hit)
-                for i, text in zip(batch["doc_id"].to_pylist(), batch["text"], strict=True)
+                for i, text in zip(part["doc_id"].to_pylist(), part["text"], strict=True)
                 for hit in scan_text(text.as_py(), count, max_ratio)
             ]
             cols = list(zip(*rows, strict=True)) or [[]] * len(RESULT)
@@ -106,12 +108,14 @@ def find_secrets(df: DataFrame, max_ratio: float = MAX_RATIO, vocabulary: str |
 
 
 def mask_secrets(df: DataFrame, mask: str = "[SECRET]", max_ratio: float = MAX_RATIO, vocabulary: str | None = None) -> DataFrame:
-    """The documents with every finding replaced by ``mask`` and n_chars set anew; all rows stay,
-    and texts without a finding stay as they are (null stays null)."""
+    """The documents, with the columns of documents, with every finding replaced by ``mask`` and n_chars
+    set anew; all rows stay, and texts without a candidate stay as they are (null and empty ones
+    too). Repeated rows give repeated rows; a null doc_id stays null; extra columns go; an empty table
+    gives an empty result. One pass; long texts are masked whole; ties are as in find_secrets."""
     path = vocabulary or vocab.vocabulary_path()
 
-    @F.pandas_udf("string")
-    def masked(texts):  # noqa: ANN001, ANN202
+    @F.arrow_udf("string")
+    def masked(texts: pa.Array) -> pa.Array:
         encoder = vocab.encoding(path)
         count = lambda s: len(encoder.encode_ordinary(s))
 
@@ -124,15 +128,13 @@ def mask_secrets(df: DataFrame, mask: str = "[SECRET]", max_ratio: float = MAX_R
                 at = stop
             return "".join([*parts, text[at:]]) if parts else text
 
-        return texts.map(one)
+        return pa.array((one(t.as_py()) for t in texts), pa.string())
 
-    from .common import DOCUMENT_COLUMNS
-
-    docs = pick(df, *DOCUMENT_COLUMNS)
-    hit = F.col("text").rlike(f"[A-Za-z0-9+/_-]{{{MIN_CHARS}}}")
-    plain = docs.filter(~F.coalesce(hit, F.lit(False)))
-    some = docs.filter(hit).withColumn("text", masked("text")).withColumn("n_chars", F.length("text").cast("long"))
-    return plain.unionByName(some.select(*DOCUMENT_COLUMNS))
+    # texts without a candidate reach Python as nulls, and come from the table itself
+    some = F.when(F.col("text").rlike(f"[A-Za-z0-9+/_-]{{{MIN_CHARS}}}"), F.col("text"))
+    docs = pick(df, *DOCUMENT_COLUMNS).withColumn("new", masked(some))
+    chars = F.when(F.col("new").isNotNull(), F.length("new").cast("long")).otherwise(F.col("n_chars"))
+    return docs.select("doc_id", F.coalesce("new", "text").alias("text"), "lang", "source", chars.alias("n_chars"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

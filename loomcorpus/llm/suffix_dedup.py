@@ -2,8 +2,8 @@
 
 Every run of ``words`` words owns an anchor: the smallest hashed gram in it. Runs that are equal have
 equal anchors, so a text is cut into pieces (all runs of one anchor) and only pieces of one anchor
-need comparing. Pieces that are equal as a whole are counted. Of different pieces with a common
-anchor, each task that reads texts builds the transform of its own shard; the shards of a bucket of
+need comparing. Pieces that are equal as a whole are counted, and so are the runs of anchors with so
+many different pieces that no task should hold them all. Of other different pieces with a common anchor, each task that reads texts builds the transform of its own shard; the shards of a bucket of
 anchors are then merged by refining their interleave one word at a time, as often as the passage has
 words: two suffixes part in the round of their first different word, which is their common prefix,
 and rows that never part are the repeated intervals. No suffix is sorted again in merging."""
@@ -19,16 +19,17 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import DOCUMENT_COLUMNS, Shared, documents, pick, release, slices
+from .near_dedup import by_ids
 from .words import Words, mix, split_hashes
 
 NAME = "op4_suffix_dedup"
 #: Words from which a passage counts, and words of the gram that anchors it.
 WORDS = 50
 GRAM = 8
-#: Words that one bucket of merging holds about, and pieces of one anchor from which its runs are
-#: spread over buckets one by one.
-BUCKET_WORDS = 1_500_000
-HOT_PIECES = 20_000
+#: Words that one bucket of merging holds about, and pieces of one anchor beyond which its runs are
+#: counted one by one, so that a bucket's largest anchor has about as many words.
+BUCKET_WORDS = 1_000_000
+HOT_PIECES = 10_000
 U = np.uint64
 _BASE = U(0x9E3779B97F4A7C15)
 _BACK = U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -135,7 +136,7 @@ def transform(symbols: np.ndarray, item: np.ndarray, bucket: np.ndarray) -> tupl
 
 def shard_transforms(docs: DataFrame, words: int, buckets: int) -> DataFrame:
     """Per slice of texts and bucket, the transform of the wanted pieces; docs has ``want``, an array
-    of (anchor, piece, start, stop, hot). The runs of hot pieces go to buckets one by one."""
+    of (anchor, piece, start, stop)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow.compute as pc
@@ -145,19 +146,15 @@ def shard_transforms(docs: DataFrame, words: int, buckets: int) -> DataFrame:
                 runs = Runs(part["text"].to_pylist())
                 parent = pc.list_parent_indices(part["want"]).to_numpy(zero_copy_only=False)
                 flat = pc.list_flatten(part["want"])
-                anchor, piece, start, stop, hot = (flat.field(k).to_numpy(zero_copy_only=False) for k in ("anchor", "piece", "start", "stop", "hot"))
-                many = np.where(hot, stop - start - words + 1, 1).astype(np.int64)
-                row = np.repeat(np.arange(len(parent)), many)
-                start = _spread(start.astype(np.int64), many)
-                length = np.where(hot[row], words, stop[row] - start).astype(np.int64)
-                begin = runs.first[parent[row]] + start
-                anchor, piece = anchor[row], piece[row]
-                key = np.where(hot[row], runs.run(begin, begin + length), mix(anchor.view(U)))
-                bucket = (key % U(buckets)).astype(np.int64)
+                anchor, piece, start, stop = (flat.field(k).to_numpy(zero_copy_only=False) for k in ("anchor", "piece", "start", "stop"))
+                row, start = parent, start.astype(np.int64)
+                length = stop.astype(np.int64) - start
+                begin = runs.first[row] + start
+                bucket = (mix(anchor.view(U)) % U(buckets)).astype(np.int64)
                 by = np.argsort(bucket, kind="stable")
                 row, start, length, begin, anchor, piece, bucket = (x[by] for x in (row, start, length, begin, anchor, piece, bucket))
-                doc_id = part["doc_id"].to_numpy()[parent[row]]
-                tx = part["tx"].to_numpy()[parent[row]]
+                doc_id = part["doc_id"].to_numpy()[row]
+                tx = part["tx"].to_numpy()[row]
                 symbols = np.zeros(int(length.sum() + len(length)), U)
                 item = np.repeat(np.arange(len(length)), length + 1)
                 symbols[_spread(np.cumsum(length + 1) - length - 1, length)] = np.maximum(runs.hash[_spread(begin, length)], U(1))
@@ -172,6 +169,28 @@ def shard_transforms(docs: DataFrame, words: int, buckets: int) -> DataFrame:
     return docs.mapInArrow(run, SHARD)
 
 
+def hot_runs(docs: DataFrame, words: int) -> DataFrame:
+    """run, doc_id, tx, start of every run of ``words`` words in the pieces ``want`` of a text."""
+    out = pa.schema([("run", pa.int64()), ("doc_id", pa.int64()), ("tx", pa.int64()), ("start", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow.compute as pc
+
+        for batch in batches:
+            for part in slices(batch, "text", 1_000_000):
+                runs = Runs(part["text"].to_pylist())
+                parent = pc.list_parent_indices(part["want"]).to_numpy(zero_copy_only=False)
+                flat = pc.list_flatten(part["want"])
+                start, stop = (flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("start", "stop"))
+                many = stop - start - words + 1
+                row, start = np.repeat(parent, many), _spread(start, many)
+                begin = runs.first[row] + start
+                at = pa.array(row)
+                yield pa.RecordBatch.from_arrays([pa.array(runs.run(begin, begin + words).view(np.int64)), part["doc_id"].take(at), part["tx"].take(at), pa.array(start)], schema=out)
+
+    return docs.mapInArrow(run, "run bigint, doc_id bigint, tx bigint, start bigint")
+
+
 def _stable(codes: np.ndarray) -> np.ndarray:
     """Stable order of small integers, by radix."""
     low = np.argsort((codes & 0xFFFF).astype(np.uint16), kind="stable")
@@ -288,10 +307,14 @@ def repeated_spans(df: DataFrame, words: int = WORDS, gram: int = GRAM, bucket_w
     mixed = kinds.groupBy("anchor").agg(F.count("*").alias("variants")).filter("variants > 1")
     reps = kinds.join(mixed, "anchor").select("anchor", "piece", "rep.*", (F.col("variants") > hot_pieces).alias("hot"))
     reps = shared.table(reps, "reps")
-    size = reps.agg(F.sum(F.when(F.col("hot"), (F.col("stop") - F.col("start") - words + 1) * words).otherwise(F.col("stop") - F.col("start")))).first()[0]
-    want = reps.groupBy("doc_id", "tx").agg(F.collect_list(F.struct("anchor", "piece", "start", "stop", "hot")).alias("want"))
+    size = reps.filter("not hot").agg(F.sum(F.col("stop") - F.col("start"))).first()[0]
+    want = lambda kind: reps.filter(kind).groupBy("doc_id", "tx").agg(F.collect_list(F.struct("anchor", "piece", "start", "stop")).alias("want"))
+    again = shared.table(pick(df, "doc_id").filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "again")
+    one = docs  # a text that many rows hold under one doc_id is merged once
+    if again.head(1):
+        one = by_ids(docs, again, "left_anti").unionByName(by_ids(docs, again, "left_semi").dropDuplicates(["doc_id", "tx"]))
     release(spark)
-    shards = shard_transforms(docs.join(want, ["doc_id", "tx"]), words, max(1, -(-(size or 0) // bucket_words)))
+    shards = shard_transforms(one.join(want("not hot"), ["doc_id", "tx"]), words, max(1, -(-(size or 0) // bucket_words)))
 
     def merge(bucket: pd.DataFrame) -> pd.DataFrame:
         found = merged(bucket, words)
@@ -299,16 +322,28 @@ def repeated_spans(df: DataFrame, words: int = WORDS, gram: int = GRAM, bucket_w
 
     ranges = shared.table(shards.groupBy("bucket").applyInPandas(merge, "doc_id bigint, tx bigint, start bigint, stop bigint, later boolean"), "ranges")
     release(spark)
+    if reps.filter("hot").head(1):
+        hot = shared.table(hot_runs(one.join(want("hot"), ["doc_id", "tx"]), words), "hot")
+        first = hot.groupBy("run").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "tx", "start")).alias("first")).filter("n > 1")
+        again = hot.join(first, "run").withColumn("isfirst", F.struct("doc_id", "tx", "start") == F.col("first"))
+        both = F.when(F.col("isfirst"), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))
+        spans = again.select("doc_id", "tx", "start", (F.col("start") + words).alias("stop"), F.explode(both).alias("later"))
+        ranges = ranges.unionByName(spans)
     copies = pieces.join(kinds.filter("n > 1").select("anchor", "piece", "rep"), ["anchor", "piece"])
     is_rep = (F.col("doc_id") == F.col("rep.doc_id")) & (F.col("tx") == F.col("rep.tx")) & (F.col("start") == F.col("rep.start"))
     kinds_of = F.when(is_rep, F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))
     copies = copies.select("doc_id", "tx", F.col("start").cast("long"), F.col("stop").cast("long"), F.explode(kinds_of).alias("later"))
-    return _islands(copies.unionByName(ranges))
+    spans = shared.table(_islands(copies.unionByName(ranges)), "spans")
+    shared.only("spans")
+    return spans
 
 
 def drop_repeats(df: DataFrame, **settings) -> DataFrame:  # noqa: ANN003
-    """The documents without the spans that repeat an earlier place; all rows stay, and those without
-    such a span stay as they are (null texts and doc_ids too)."""
+    """The documents, with the columns of documents, without the spans that repeat an earlier place; all
+    rows stay, and those without such a span stay as they are (null, empty and short texts and null
+    doc_ids too). Of repeated rows with one doc_id and text each stays whole, as none is earlier;
+    equal texts of different doc_ids lose what the smallest has. Extra columns go; an empty table
+    gives an empty result; texts are cut whole, however long."""
     docs = pick(df, *DOCUMENT_COLUMNS)
     shared = Shared(df.sparkSession, "suffix-cuts")
     later = repeated_spans(docs, **settings).filter("later")
@@ -321,6 +356,9 @@ def drop_repeats(df: DataFrame, **settings) -> DataFrame:  # noqa: ANN003
         word = re.compile(r"\S+")
         out = []
         for text, spans in zip(texts, cuts, strict=True):
+            if text is None:
+                out.append(None)
+                continue
             ends = np.array([m.span() for m in word.finditer(text)], np.int64)
             parts, at = [], 0
             for span in spans:
@@ -329,9 +367,10 @@ def drop_repeats(df: DataFrame, **settings) -> DataFrame:  # noqa: ANN003
             out.append("".join([*parts, text[at:]]))
         return pd.Series(out)
 
-    keyed = docs.withColumn("tx", F.xxhash64("text"))
-    hit = keyed.join(cuts, ["doc_id", "tx"]).withColumn("text", without("text", "cuts")).withColumn("n_chars", F.length("text").cast("long"))
-    return keyed.join(cuts, ["doc_id", "tx"], "left_anti").select(*DOCUMENT_COLUMNS).unionByName(hit.select(*DOCUMENT_COLUMNS))
+    # only texts with a cut cross to Python
+    cut = docs.withColumn("tx", F.xxhash64("text")).join(cuts, ["doc_id", "tx"], "left").withColumn("new", without(F.when(F.col("cuts").isNotNull(), F.col("text")), "cuts"))
+    chars = F.when(F.col("new").isNotNull(), F.length("new").cast("long")).otherwise(F.col("n_chars"))
+    return cut.select("doc_id", F.coalesce("new", "text").alias("text"), "lang", "source", chars.alias("n_chars"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -150,6 +150,15 @@ def _repeats(texts, k):
     return spans
 
 
+def test_a_passage_in_many_different_documents(spark):
+    """Its runs are counted: no task of merging gets them."""
+    passage = prose(6, 55)
+    texts = {i: " ".join([f"a{i}x{j}" for j in range(60)] + [passage] + [f"b{i}x{j}" for j in range(60)]) for i in range(1500)}
+    df = table(spark, [(i, t, "", "", 0) for i, t in texts.items()])
+    got = suffix_dedup.repeated_spans(df, hot_pieces=1000).select("doc_id", "later", "start", "stop").collect()
+    assert {tuple(x) for x in got} == {(i, later, 60, 115) for i in texts for later in (False, True) if i or not later}
+
+
 @pytest.mark.parametrize("hot", [1, 20_000])
 def test_repeated_passages_by_brute_force(spark, hot):
     r = random.Random(7)
@@ -513,6 +522,56 @@ def test_secrets(spark):
     assert all(("[SECRET]" in masked[i].text) == (i < len(planted)) for i in masked)
 
 
+def _naive_tokens(word: bytes, ranks) -> int:
+    parts = [word[i : i + 1] for i in range(len(word))]
+    while len(parts) > 1:
+        r, i = min((ranks.get(a + b, 1 << 30), i) for i, (a, b) in enumerate(zip(parts, parts[1:])))
+        if r == 1 << 30:
+            break
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+    return len(parts)
+
+
+def _all_substrings(text, ranks, splitter):
+    """Every substring that is a secret by the rules, tried one by one."""
+    allowed = set("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_-")
+    beside = lambda c: c.isalnum() or c in "_+/-"
+    found = []
+    for i in range(len(text)):
+        if text[i] not in allowed or i and beside(text[i - 1]):
+            continue
+        for j in range(i + secrets.MIN_CHARS, len(text) + 1):
+            body = text[i:j].rstrip("=")
+            pad = j - i - len(body)
+            if not set(body) <= allowed or pad > 2 or len(body) < secrets.MIN_CHARS:
+                continue
+            if j < len(text) and (beside(text[j]) or text[j] == "="):
+                continue
+            named = bool(secrets.CREDENTIAL.search(text[max(0, i - 48) : i]))
+            n = sum(_naive_tokens(w.encode(), ranks) for w in splitter.findall(text[i:j]))
+            if not secrets.excluded(text[i:j], named) and (j - i) / n <= secrets.MAX_RATIO:
+                found.append((i, j, text[i:j], n, named))
+    return found
+
+
+def test_secrets_by_brute_force(spark):
+    r = random.Random(31)
+    v = vocab.load(vocab.vocabulary_path())
+    chars = "abcXYZ019+/_-=="
+    bits = ["key=", "token: ", " ", "\n", '"', "é", "=", "a-b-c", "secret_key = ", "?t=", "d41d8cd98f00b204e9800998ecf8427e", "some-kebab-case-name", "550e8400-e29b-41d4-a716-446655440000"]
+    make = lambda: "".join(r.choice(bits) if r.random() < 0.5 else "".join(r.choice(chars if r.random() < 0.5 else "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(r.randint(3, 40))) for _ in range(r.randint(1, 9)))
+    texts = {i: make() for i in range(250)}
+    want = {(i, *x) for i, t in texts.items() for x in _all_substrings(t, v.ranks, v.splitter)}
+    df = table(spark, [(i, t, "", "", 0) for i, t in texts.items()])
+    got = {(x.doc_id, x.start, x.stop, x.secret, x.n_tokens, x.named) for x in secrets.find_secrets(df).collect()}
+    assert got == want and len(want) > 60
+    for x in secrets.mask_secrets(df).collect():
+        t = texts[x.doc_id]
+        for _, i, j, *_ in sorted((y for y in want if y[0] == x.doc_id), reverse=True):
+            t = t[:i] + "[SECRET]" + t[j:]
+        assert x.text == t
+
+
 def test_secrets_directly_after_an_assignment_sign(encoder):
     count = lambda s: len(encoder.encode_ordinary(s))
     secret = "q7Xk2LmP9vRt4WzB8nYc3DfG6hJs"
