@@ -11,6 +11,7 @@ import os
 
 from pyspark.sql import SparkSession
 
+from . import reports
 from .config import SamplerConfig, SplitRatios, text_recipes, title_context_recipes
 from .operators import metrics, splits
 from .sampler import Sampler
@@ -59,7 +60,7 @@ def main(argv: list[str] | None = None) -> None:
         sampler = Sampler(spark, SamplerConfig(seed=a.seed, ratios=a.split_ratios), sources)
         labelled = splits.assign(sampler.records().select("id", "source"), "id", a.seed, a.split_ratios)
         recipes = len(title_context_recipes())
-        metrics.capacity(labelled, recipes, 3 * recipes).orderBy("source", "split").show(1000, False)
+        print(reports.capacity(metrics.capacity(labelled, recipes, 3 * recipes).collect()))  # one row a source and split
         return
     config = SamplerConfig(seed=a.seed, batch_size=a.batch_size, ratios=a.split_ratios, allowed_splits=(a.split,), max_records=a.ingestion_max_records)
     sampler = Sampler(spark, config, sources)
@@ -71,12 +72,12 @@ def main(argv: list[str] | None = None) -> None:
     fresh = store is None or a.reset or not os.path.exists(store.path)
     state = SamplerState(a.seed, a.split_ratios) if fresh else store.load(a.seed, a.split_ratios)
     kind = "texts" if a.text_recipes else "pairs" if a.pair_batch else "triplets"
-    for _, batch in zip(range(a.batches), sampler.batches(kind, a.split, state.epoch)):
-        for row in batch:
-            print(row.asDict())
+    for i, batch in zip(range(a.batches), sampler.restore(state).batches(kind, a.split)):
+        print(reports.batch(kind, i + 1, batch))
+    for s in sampler.stats:
+        print(f"{s.source}: {reports.grouped_digits(s.records)} records in {s.seconds:.1f} s ({s.per_second:.0f} a second){': ' + s.error if s.error else ''}")
     if store:
-        state.epoch += 1
-        store.save(state)
+        store.save(sampler.state)
 
 
 if __name__ == "__main__":

@@ -44,6 +44,8 @@ class TripletRecipe:
     weight: float = 1.0
     instruction: str | None = None
     allow_same_anchor_positive: bool = False
+    #: Anchor and positive are two windows of one long section, whatever their selectors.
+    long_section: bool = False
 
     def __post_init__(self) -> None:
         if self.strategy not in STRATEGIES:
@@ -76,7 +78,10 @@ class ChunkingStrategy:
 class SamplerConfig:
     seed: int = 42
     batch_size: int = 128
-    max_records: int = 2048
+    #: Records that a refresh reads of each source; None reads all.
+    max_records: int | None = None
+    #: Whether sources with sections longer than the window get a recipe of long sections.
+    long_sections: bool = True
     recipes: tuple[TripletRecipe, ...] = ()
     text_recipes: tuple[TextRecipe, ...] = ()
     ratios: SplitRatios = SplitRatios()
@@ -113,7 +118,7 @@ def row_recipes(has_anchor: bool) -> tuple[TripletRecipe, ...]:
 
 def long_section_recipe(source: str) -> TripletRecipe:
     """Added for sources with a section longer than the window: two windows of one section."""
-    return TripletRecipe(f"{source}_long_sections", CONTEXT, CONTEXT, CONTEXT)
+    return TripletRecipe(f"{source}_long_sections", CONTEXT, CONTEXT, CONTEXT, long_section=True)
 
 
 def text_recipes(config: SamplerConfig, defaults: tuple[TripletRecipe, ...] = ()) -> tuple[TextRecipe, ...]:

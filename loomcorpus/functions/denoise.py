@@ -1,17 +1,18 @@
 """Removal of table markup and of lines that are mostly digits.
 
-Markup and lines without letters are handled by built-in expressions; only lines over the digit
-ratio, which need a search outward from words with letters, go to a pandas UDF."""
+All is done by built-in expressions, but for the search outward from words with letters: of lines over
+the digit ratio, the counts of each word go to a pandas UDF, which says what stays."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import SPACES, normalize_lines
+from .text import SPACES, normalize_lines, tokens
 
 LETTERS = r"[^\p{IsAlphabetic}]"
 
@@ -61,44 +62,46 @@ def gated_lines(text: Column, config: DenoiserConfig = DenoiserConfig()) -> Colu
     return F.filter(lines, lambda x: letters(x) > 0)
 
 
-def keep_tokens(line: str, max_ratio: float) -> str:
-    """The words with letters and, wave by wave, their neighbours while the digit ratio allows it."""
-    words = line.split()
-    counts = [(sum("0" <= c <= "9" for c in w), sum(c.isalpha() for c in w)) for w in words]
-    keep = [a > 0 for _, a in counts]
-    d = sum(c[0] for c, k in zip(counts, keep, strict=True) if k)
-    a = sum(c[1] for c, k in zip(counts, keep, strict=True) if k)
-    while True:
-        wave = [i for i in range(len(words)) if not keep[i] and (i and keep[i - 1] or i + 1 < len(words) and keep[i + 1])]
-        more_d, more_a = d + sum(counts[i][0] for i in wave), a + sum(counts[i][1] for i in wave)
-        if not wave or more_d + more_a and more_d / (more_d + more_a) > max_ratio:
-            return " ".join(w for w, k in zip(words, keep, strict=True) if k)
-        for i in wave:
-            keep[i] = True
-        d, a = more_d, more_a
+def keep_mask(digits: np.ndarray, letters: np.ndarray, max_ratio: float) -> np.ndarray:
+    """Which words of a line stay, from their digit and letter counts: those with letters and, wave by
+    wave, their neighbours while the digit ratio allows it. A word's wave is its distance from the
+    nearest word with letters; as waves add no letters, the ratio only grows with them."""
+    n, at = len(digits), np.flatnonzero(letters > 0)
+    if not len(at):
+        return np.zeros(n, bool)
+    i = np.arange(n)
+    after = np.searchsorted(at, i)
+    wave = np.minimum(np.abs(i - at[np.minimum(after, len(at) - 1)]), np.abs(i - at[np.maximum(after - 1, 0)]))
+    d, a = np.cumsum(np.bincount(wave, digits)), letters.sum()
+    return wave <= (np.count_nonzero(d[1:] <= max_ratio * (d[1:] + a)) if d[0] <= max_ratio * (d[0] + a) else 0)
 
 
-def denoise(text: Column, config: DenoiserConfig = DenoiserConfig()) -> Column:
-    """The denoised text; null where nothing is left (or the text is null)."""
-    if not config.enabled:
-        return text
-    ratio = config.max_digit_ratio
-
-    @F.pandas_udf("string")
+def _waves(ratio: float):  # noqa: ANN202
+    @F.pandas_udf("array<array<boolean>>")
     def waves(lines: pd.Series) -> pd.Series:
-        def one(xs) -> str | None:  # noqa: ANN001
+        def one(xs):  # noqa: ANN001, ANN202
             if xs is None:
                 return None
-            out = []
-            for x in xs:
-                d = sum("0" <= c <= "9" for c in x)
-                a = sum(c.isalpha() for c in x)
-                out.append(keep_tokens(x, ratio) if d + a and d / (d + a) > ratio else x)
-            return "\n".join(out) if out else None
+            counts = [None if x is None else np.asarray(x, np.int64).reshape(-1, 2) for x in xs]
+            return [None if c is None else keep_mask(c[:, 0], c[:, 1], ratio).tolist() for c in counts]
 
         return lines.map(one)
 
-    return waves(gated_lines(text, config))
+    return waves
+
+
+def denoise(text: Column, config: DenoiserConfig = DenoiserConfig()) -> Column:
+    """The denoised text; null where nothing is left (or the text is null)."""
+    if not config.enabled:
+        return text
+    lines = gated_lines(text, config)
+    over = lambda x: digit_ratio(x) > config.max_digit_ratio
+    # digits and letters of each word, for lines over the ratio only; texts without one reach Python as nulls
+    counts = F.transform(lines, lambda x: F.when(over(x), F.flatten(F.transform(tokens(x), lambda w: F.array(digits(w), letters(w))))))
+    masks = _waves(config.max_digit_ratio)(F.when(F.exists(counts, lambda c: c.isNotNull()), counts))
+    kept = lambda x, m: F.array_join(F.transform(F.filter(F.arrays_zip(tokens(x).alias("w"), m.alias("k")), lambda z: z["k"]), lambda z: z["w"]), " ")
+    cleaned = F.zip_with(lines, masks, lambda x, m: F.when(m.isNull(), x).otherwise(kept(x, m)))
+    return F.when(F.size(lines) > 0, F.array_join(F.when(masks.isNull(), lines).otherwise(cleaned), "\n"))
 
 
-__all__ = ["SPACES", "DenoiserConfig", "denoise", "digit_ratio", "gated_lines", "keep_tokens"]
+__all__ = ["SPACES", "DenoiserConfig", "denoise", "digit_ratio", "gated_lines", "keep_mask"]

@@ -49,5 +49,10 @@ def slug_title(stem: Column) -> Column:
     return normalize_whitespace(F.translate(stem, "_", " "))
 
 
+def is_blank(text: Column) -> Column:
+    """Nothing but Unicode white space."""
+    return text.rlike(r"(?U)^\s*$")
+
+
 def is_text_file(path: Column) -> Column:
     return F.lower(path).endswith(".txt")

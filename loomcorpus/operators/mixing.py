@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 
 from ..errors import InvalidWeight
 from ..functions.hashing import hash52, hash52_of
+from .splits import hash_ranked
 
 
 def round_robin(df: DataFrame, limit: int, order: tuple[Column | str, ...]) -> DataFrame:
     """The first ``limit`` records when the sources give one each in turn (sources by name)."""
     turn = F.row_number().over(Window.partitionBy("source").orderBy(*order)) - 1
-    return df.withColumn("turn", turn).orderBy("turn", "source").limit(limit)
+    return df.withColumn("turn", turn).filter(F.col("turn") < limit).orderBy("turn", "source").limit(limit)
 
 
 def check_weights(weights: Mapping[str, float], sources: set[str]) -> None:
@@ -53,7 +54,7 @@ def weighted(df: DataFrame, weights: Mapping[str, float], limit: int, order: tup
     sizes = {r.source: r["count"] for r in df.groupBy("source").count().collect()}  # one row a source
     check_weights(weights, set(sizes))
     steps = spark.createDataFrame(schedule(sizes, weights, limit), "step int, source string, nth int")
-    placed = df.withColumn("nth", F.row_number().over(Window.partitionBy("source").orderBy(*order)) - 1)
+    placed = df.withColumn("nth", F.row_number().over(Window.partitionBy("source").orderBy(*order)) - 1).filter(F.col("nth") < limit)
     return steps.join(placed, ["source", "nth"]).drop("nth")
 
 
@@ -69,7 +70,7 @@ def group_cap(df: DataFrame, group: str, limit: int, order: tuple[Column | str,
     """At most ceil(limit / groups) records of each group."""
     groups = df.agg(F.count_distinct(group).alias("groups"))
     nth = F.row_number().over(Window.partitionBy(group).orderBy(*order))
-    return df.withColumn("nth", nth).crossJoin(F.broadcast(groups)).filter(F.col("nth") <= F.ceil(F.lit(limit) / F.col("groups"))).drop("groups")
+    return df.withColumn("nth", nth).filter(F.col("nth") <= limit).crossJoin(F.broadcast(groups)).filter(F.col("nth") <= F.ceil(F.lit(limit) / F.col("groups"))).drop("groups")
 
 
 def grouped_order(sizes: Mapping[str, int], divisor: int = 8, seed: int = 42) -> list[tuple[int, str, int, int]]:
@@ -96,7 +97,7 @@ def in_grouped_order(df: DataFrame, group: str, id: str = "id", divisor: int = 8
     spark = df.sparkSession
     sizes = {r[group]: r["count"] for r in df.groupBy(group).count().collect()}  # one row a group
     blocks = spark.createDataFrame(grouped_order(sizes, divisor, seed), f"at long, {group} string, first long, n long")
-    placed = df.withColumn("nth", F.row_number().over(Window.partitionBy(group).orderBy(hash52(seed, "item", F.col(id)), id)) - 1)
+    placed = hash_ranked(df, (group,), hash52(seed, "item", F.col(id)), id, "nth")
     inside = (F.col("nth") >= F.col("first")) & (F.col("nth") < F.col("first") + F.col("n"))
     return placed.join(F.broadcast(blocks), group).filter(inside).withColumn("position", F.col("at") + F.col("nth") - F.col("first")).drop("at", "first", "n", "nth")
 
@@ -104,8 +105,8 @@ def in_grouped_order(df: DataFrame, group: str, id: str = "id", divisor: int = 8
 def permuted_page(df: DataFrame, start: int, limit: int, seed: int = 42, id: str = "id") -> DataFrame:
     """``limit`` records per source from ``start`` on in a hashed permutation; a start past the end
     begins again."""
-    w = Window.partitionBy("source")
-    placed = df.withColumn("pos", F.row_number().over(w.orderBy(hash52(seed, "page", F.col("source"), F.col(id)), id)) - 1).withColumn("n", F.count("*").over(w))
+    sizes = df.groupBy("source").agg(F.count("*").alias("n"))
+    placed = hash_ranked(df, ("source",), hash52(seed, "page", F.col("source"), F.col(id)), id).join(F.broadcast(sizes), "source")  # one row a source
     begin = F.when(F.col("n") <= start, F.lit(0)).otherwise(F.lit(start))
     return placed.filter((F.col("pos") >= begin) & (F.col("pos") < begin + limit)).drop("n")
 

@@ -5,22 +5,28 @@ is drawn by hash with the anchor's own block skipped, and the drawn rank is join
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Selector
+from ..errors import ConfigurationError
 from ..functions.hashing import hash52
 from ..functions.text import tokens
 
 
-def select_sections(sections: DataFrame, selector: Selector, seed: int = 42) -> DataFrame:
-    """One section of each record: of a role (rotating by hash), the i-th, or any. Records without
-    such a section are left out."""
+def select_sections(sections: DataFrame, selector: Selector, seed: int = 42, visit: int = 0) -> DataFrame:
+    """One section of each record: of a role or any (from a hashed start, one further each visit), or
+    the i-th. Records without such a section are left out."""
+    if selector.kind == "temporal_offset":
+        raise ConfigurationError("a neighbour in time is another record: see temporal_neighbor")
     if selector.kind == "paragraph":
         return sections.filter(F.col("section_idx") == int(selector.value))
     pool = sections.filter(F.col("role") == selector.value) if selector.kind == "role" else sections
     by = Window.partitionBy("id")
-    drawn = hash52(seed, selector.kind, selector.value or "", F.col("id")) % F.count("*").over(by)
+    drawn = (hash52(seed, selector.kind, selector.value or "", F.col("id")) + visit) % F.count("*").over(by)
     ranked = pool.withColumn("nth", F.row_number().over(by.orderBy("section_idx")) - 1).withColumn("drawn", drawn)
     return ranked.filter("nth = drawn").drop("nth", "drawn")
 
@@ -43,15 +49,28 @@ def chunk_pairs(chunks: DataFrame, seed: int = 42) -> DataFrame:
     return found.select("id", "section_idx", "overlap", a.alias("anchor_index"), F.when(b >= a, b + 1).otherwise(b).alias("positive_index"))
 
 
-def _ranked(pool: DataFrame, by: list[str], order: list[str]) -> DataFrame:
-    return pool.withColumn("rk", F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1).withColumn("n", F.count("*").over(Window.partitionBy(*by)))
+#: A group is ranked in 2^BITS ranges of the hash of its ids, so that no task sorts a whole source or split.
+BITS = 8
+
+
+def _ranked(pool: DataFrame, by: list[str], first: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """The pool with rk, its rank in its group by (first, range of the hash, id), and n, the group's size;
+    and the sizes of the ranges. Through a group's task go only those."""
+    ranged = pool.withColumn("rg", F.shiftright(hash52("rank", F.col("id")), 52 - BITS).cast("int"))
+    key = [*by, *first, "rg"]
+    sizes = ranged.groupBy(*key).agg(F.count("*").alias("c"))
+    group = Window.partitionBy(*by)
+    before = F.sum("c").over(group.orderBy(*first, "rg").rowsBetween(Window.unboundedPreceding, 0)) - F.col("c")
+    sizes = sizes.select(*key, before.alias("before"), F.sum("c").over(group).alias("n"))
+    inside = F.row_number().over(Window.partitionBy(*key).orderBy("id")) - 1
+    return ranged.withColumn("in", inside).join(sizes, key).withColumn("rk", F.col("before") + F.col("in")), sizes
 
 
 def _draw(pool: DataFrame, by: list[str], purpose: str, seed: int) -> DataFrame:
     """id, neg of every record of a group with others."""
-    ranked = _ranked(pool, by, ["id"])
+    ranked, _ = _ranked(pool, by)
     r = hash52(seed, purpose, F.col("id")) % (F.col("n") - 1)
-    asked = ranked.filter("n > 1").withColumn("want", F.when(r >= F.col("rk"), r + 1).otherwise(r))
+    asked = ranked.filter("n > 1").select("id", *by, F.when(r >= F.col("rk"), r + 1).otherwise(r).alias("want"))
     other = ranked.select(*by, F.col("rk").alias("want"), F.col("id").alias("neg"))
     return asked.join(other, [*by, "want"]).select("id", "neg")
 
@@ -78,9 +97,9 @@ def wrong_date(pool: DataFrame, seed: int = 42) -> DataFrame:
     anchor has none; else any other of the split. The records of a source are ranked by date, so the
     anchor's own date is one block, which the draw skips."""
     by = ["source", "split"]
-    ranked = _ranked(pool.withColumn("day", F.coalesce(F.col("date").cast("string"), F.lit(""))), by, ["day", "id"])
-    day = Window.partitionBy(*by, "day")
-    ranked = ranked.withColumn("lo", F.min("rk").over(day)).withColumn("size", F.count("*").over(day))
+    ranked, sizes = _ranked(pool.withColumn("day", F.coalesce(F.col("date").cast("string"), F.lit(""))), by, ("day",))
+    ranked = ranked.join(sizes.groupBy(*by, "day").agg(F.min("before").alias("lo")), [*by, "day"])
+    ranked = ranked.join(pool.groupBy(*by, F.coalesce(F.col("date").cast("string"), F.lit("")).alias("day")).agg(F.count("*").alias("size")), [*by, "day"])
     r = hash52(seed, "wrong_date", F.col("id")) % (F.col("n") - F.col("size"))
     asked = ranked.filter("n > size").withColumn("want", F.when(r >= F.col("lo"), r + F.col("size")).otherwise(r))
     other = ranked.select(*by, F.col("rk").alias("want"), F.col("id").alias("neg"))
@@ -93,10 +112,19 @@ def qa_mismatch(pool: DataFrame, seed: int = 42) -> DataFrame:
     return _tiers(pool, [(_draw(pool, ["source", "split"], "qa", seed), False), (_draw(pool, ["split"], "qa", seed), True)])
 
 
-def temporal_neighbor(df: DataFrame, days: int, by: tuple[str, ...] = ("source", "split")) -> DataFrame:
-    """id, neighbor_id: the other record of the group nearest in time to created_at + days; the smaller
-    id of equally near ones. One sort of targets and records together, and the last and next record
-    seen from each target: no pair is compared."""
+def temporal_neighbor(df: DataFrame, days: int, by: tuple[str, ...] = ("source", "split"), also: tuple[str, ...] | None = None) -> DataFrame:
+    """id, neighbor_id: the other record of the group (``by``, or the second group ``also``) nearest in
+    time to created_at + days; the smaller id of equally near ones."""
+    found = _nearest(df, days, by)
+    if also:
+        more = df.filter(" and ".join(f"{c} is not null" for c in also))
+        found = found.unionByName(_nearest(more, days, also)).groupBy("id").agg(F.min("best").alias("best"))
+    return found.select("id", F.col("best.i").alias("neighbor_id"))
+
+
+def _nearest(df: DataFrame, days: int, by: tuple[str, ...]) -> DataFrame:
+    """id, best: struct of distance and id of the nearest other record of the group. One sort of targets
+    and records together, and the last and next record seen from each target: no pair is compared."""
     group = list(by)
     base = df.select(*group, "id", F.unix_micros(F.col("created_at").cast("timestamp")).alias("at"))
     # of records at the same time only the two smallest ids can be an answer
@@ -114,45 +142,140 @@ def temporal_neighbor(df: DataFrame, days: int, by: tuple[str, ...] = ("source",
     beyond = [F.last("around", True).over(order.rowsBetween(Window.unboundedPreceding, 0))["p"], F.first("around", True).over(order.rowsBetween(1, Window.unboundedFollowing))["n"]]
     found = both.withColumn("c", F.filter(F.array(*last, *beyond), lambda x: x.isNotNull())).filter("kind = 0")
     options = F.flatten(F.transform("c", lambda p: F.transform(F.filter(p["ids"], lambda i: i != F.col("id")), lambda i: F.struct(F.abs(p["at"] - F.col("at")).alias("d"), i.alias("i")))))
-    return found.withColumn("best", F.array_min(options)).filter("best is not null").select("id", F.col("best.i").alias("neighbor_id"))
+    return found.select("id", F.array_min(options).alias("best")).filter("best is not null")
 
 
 K1, B = 1.2, 0.75
 TOP = 32
 QUERY_TOKENS = 64
+#: Documents, and anchors, of one source that one task scores against each other.
+BLOCK_DOCS, BLOCK_ANCHORS = 2048, 16384
+_HITS = "source string, anchor string, id string, score double"
 
 
-def bm25_top(docs: DataFrame, top: int = TOP, query_tokens: int = QUERY_TOKENS) -> DataFrame:
+def record_text(records: DataFrame, max_tokens: int = 1024) -> DataFrame:
+    """source, id, text: what a record is searched by: the headings and texts of its sections, a line
+    each, its id where they are blank, ``max_tokens`` tokens at most."""
+    lines = F.flatten(F.transform("sections", lambda s: F.filter(F.array(s["heading"], s["text"]), lambda x: x.isNotNull() & (F.size(tokens(x)) > 0))))
+    body = F.array_join(lines, "\n")
+    words = tokens(body)
+    cut = F.when(F.size(words) <= max_tokens, body).otherwise(F.array_join(F.slice(words, 1, max_tokens), " "))
+    return records.select("source", "id", F.when(F.size(words) > 0, cut).otherwise(F.col("id")).alias("text"))
+
+
+def bm25_top(docs: DataFrame, top: int = TOP, query_tokens: int = QUERY_TOKENS, anchors: DataFrame | None = None) -> DataFrame:
     """anchor, id, score, rank: per source, the best documents for each anchor's first tokens, best
-    first, then by id; the anchor itself is among them. docs: source, id, text. An inverted index
-    joined on (source, term); sources with fewer than two documents have no index."""
-    toks = docs.select("source", "id", F.transform(tokens(F.lower("text")), lambda x: x).alias("t")).filter(F.size("t") > 0)
-    length = toks.select("source", "id", F.size("t").alias("len"))
-    stats = length.groupBy("source").agg(F.count("*").alias("nd"), F.avg("len").alias("mean")).filter("nd >= 2")
-    tf = toks.select("source", "id", F.size("t").alias("len"), F.explode("t").alias("term")).groupBy("source", "term", "id").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
-    df = tf.groupBy("source", "term").agg(F.count("*").alias("df"))
+    first, then by id; a document that is an anchor is among its own. docs: source, id, text; anchors:
+    the same, or all documents. Sources with fewer than two documents have no index.
+
+    Blocks of a source's documents are scored against blocks of its anchors, each by a sparse product
+    over the block's postings, which keeps the ``top`` of the block; these are merged. So no term,
+    however frequent, and no source, however large, gives a task more than its two blocks."""
+    toks = lambda df: df.select("source", "id", tokens(F.lower("text")).alias("t")).filter(F.size("t") > 0)
+    texts = toks(docs)
+    stats = texts.groupBy("source").agg(F.count("*").alias("nd"), F.avg(F.size("t")).alias("mean")).filter("nd >= 2")
+    df = texts.select("source", F.explode(F.array_distinct("t")).alias("term")).groupBy("source", "term").agg(F.count("*").alias("df"))
+    asked = toks(anchors if anchors is not None else docs).select("source", F.col("id").alias("anchor"), F.explode(F.array_distinct(F.slice("t", 1, query_tokens))).alias("term"))
     idf = F.log(1 + (F.col("nd") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    norm = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("mean")))
-    postings = tf.join(df, ["source", "term"]).join(F.broadcast(stats), "source").select("source", "term", "id", (idf * norm).alias("w"))
-    asked = toks.select("source", F.col("id").alias("anchor"), F.explode(F.array_distinct(F.slice("t", 1, query_tokens))).alias("term"))
-    scores = asked.join(postings, ["source", "term"]).groupBy("source", "anchor", "id").agg(F.round(F.sum("w"), 6).alias("score"))
+    weighed = asked.join(df, ["source", "term"]).join(F.broadcast(stats), "source")
+    queries = weighed.groupBy("source", "anchor").agg(F.sort_array(F.collect_list(F.struct("term", idf.alias("idf")))).alias("q"))
+    asking = queries.groupBy("source").agg(F.count("*").alias("na"))
+    grid = F.broadcast(stats.join(asking, "source").select("source", "mean", F.ceil(F.col("nd") / BLOCK_DOCS).cast("int").alias("blocks"), F.ceil(F.col("na") / BLOCK_ANCHORS).cast("int").alias("chunks")))
+    cell = lambda id, own, other: (F.pmod(F.xxhash64(id), F.col(own)).cast("int"), F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
+    mine, each = cell("id", "blocks", "chunks")
+    held = texts.join(grid, "source").select("source", "id", "t", "mean", mine.alias("block"), each.alias("chunk"))
+    mine, each = cell("anchor", "chunks", "blocks")
+    searched = queries.join(grid, "source").select(F.col("source").alias("_source"), "anchor", "q", mine.alias("_chunk"), each.alias("_block"))
+    both = held.groupBy("source", "block", "chunk").cogroup(searched.groupBy("_source", "_block", "_chunk"))
+    scores = both.applyInArrow(lambda d, q: _scored(d, q, top), _HITS)
     rank = F.row_number().over(Window.partitionBy("source", "anchor").orderBy(F.desc("score"), "id"))
     return scores.withColumn("rank", rank).filter(F.col("rank") <= top).select("source", "anchor", "id", "score", "rank")
 
 
-def bm25_negative(ranked: DataFrame, pool: DataFrame, draw_no: int = 0, rotate: int = 3) -> DataFrame:
-    """id, negative_id: of the anchor's best documents that are others of its own split, one of the
-    first ``rotate``, a further one each draw. The rank is cut before the split is looked at."""
-    label = pool.select("id", "split")
-    hits = ranked.filter("anchor <> id").join(label, "id").join(label.select(F.col("id").alias("anchor"), F.col("split").alias("want")), "anchor").filter("split = want")
-    w = Window.partitionBy("anchor")
+def _scored(docs: pa.Table, queries: pa.Table, top: int) -> pa.Table:
+    """The ``top`` documents of a block for each query that has any of its terms."""
+    schema = pa.schema([("source", pa.string()), ("anchor", pa.string()), ("id", pa.string()), ("score", pa.float64())])
+    if not docs.num_rows or not queries.num_rows:
+        return schema.empty_table()
+    docs = docs.sort_by("id")  # equal scores then go by place
+    held = docs["t"].combine_chunks()
+    size = np.diff(held.offsets.to_numpy())
+    terms = held.flatten().dictionary_encode()
+    n, doc = len(docs), np.repeat(np.arange(len(docs)), size)
+    key, tf = np.unique(terms.indices.to_numpy().astype(np.int64) * n + doc, return_counts=True)
+    doc = key % n
+    weight = tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[doc] / docs["mean"][0].as_py()))
+    first = np.searchsorted(key, np.arange(len(terms.dictionary) + 1) * n)  # a term's postings
+    asked = queries["q"].combine_chunks()
+    parts = asked.flatten()
+    term = pc.index_in(parts.field("term"), value_set=terms.dictionary).fill_null(-1).to_numpy().astype(np.int64)
+    idf, whose = parts.field("idf").to_numpy(), np.repeat(np.arange(len(asked)), np.diff(asked.offsets.to_numpy()))
+    here = term >= 0
+    term, idf, whose = term[here], idf[here], whose[here]
+    many = first[term + 1] - first[term]
+    found, step = [], max(1, (1 << 20) // n)
+    for a in range(0, len(asked), step):
+        lo, hi = np.searchsorted(whose, (a, min(a + step, len(asked))))
+        count = many[lo:hi]
+        at = np.repeat(first[term[lo:hi]] - np.cumsum(count) + count, count) + np.arange(int(count.sum()))
+        cell = np.repeat((whose[lo:hi] - a) * n, count) + doc[at]
+        rows = min(step, len(asked) - a)
+        score = np.bincount(cell, np.repeat(idf[lo:hi], count) * weight[at], rows * n).reshape(rows, n)
+        hit = score > 0
+        score = np.floor(score * 1e6 + 0.5) / 1e6
+        score[~hit] = -1
+        if n > top:  # less than the top-th is out
+            hit &= score >= np.partition(score, n - top, axis=1)[:, n - top, None]
+        q, d = np.nonzero(hit)
+        order = np.lexsort((d, -score[q, d], q))
+        q, d = q[order], d[order]
+        nth = np.arange(len(q)) - np.searchsorted(q, q)
+        q, d = q[nth < top], d[nth < top]
+        found.append((q + a, d, score[q, d]))
+    q, d, score = (np.concatenate(c) for c in zip(*found, strict=True))
+    cols = [queries["_source"].take(pa.array(q)), queries["anchor"].take(pa.array(q)), docs["id"].take(pa.array(d)), pa.array(score)]
+    return pa.Table.from_arrays(cols, schema=schema)
+
+
+def _eligible(pairs: DataFrame, pool: DataFrame, strategy: str) -> DataFrame:
+    """Of pairs (id, neg), those of one split that the strategy allows: for wrong dates, with different
+    dates, or one without."""
+    label = pool.select("id", "split", "date")
+    met = pairs.join(label, "id").join(label.toDF("neg", "other", "day"), "neg").filter("split = other and id <> neg")
+    return met.filter("not (date <=> day)") if strategy == "wrong_publication_date" else met
+
+
+def bm25_negative(ranked: DataFrame, pool: DataFrame, draw_no: int = 0, rotate: int = 3, seed: int = 42, strategy: str = "wrong_article") -> DataFrame:
+    """id, negative_id, fallback: of the anchor's best documents that are others of its own split, and
+    that the strategy allows, one of the first ``rotate``, a further one each draw; the rank is cut
+    before that is looked at. Where there is none, a uniform draw by the strategy (fallback). pool: id,
+    source, split, date."""
+    hits = _eligible(ranked.select(F.col("anchor").alias("id"), F.col("id").alias("neg"), "rank"), pool, strategy)
+    w = Window.partitionBy("id")
     nth = hits.withColumn("nth", F.row_number().over(w.orderBy("rank")) - 1).withColumn("n", F.count("*").over(w))
-    return nth.filter(F.col("nth") == F.lit(draw_no) % F.least(F.lit(rotate), F.col("n"))).select(F.col("anchor").alias("id"), F.col("id").alias("negative_id"))
+    found = nth.filter(F.col("nth") == F.lit(draw_no) % F.least(F.lit(rotate), F.col("n"))).select("id", "neg")
+    uniform = MAKERS[strategy](pool, seed).select("id", F.col("negative_id").alias("neg"))
+    return _tiers(pool, [(found, False), (uniform, True)])
+
+
+MAKERS = {"wrong_article": wrong_article, "wrong_publication_date": wrong_date, "question_answer_mismatch": qa_mismatch}
+
+
+class NegativeBackend:
+    """Chooses negatives; this one draws uniformly. Others override ``choose``."""
+
+    def choose(self, strategy: str, pool: DataFrame, anchors: DataFrame, seed: int) -> DataFrame:
+        """id, negative_id, fallback for the records of one split. anchors: id and text of the anchors."""
+        return MAKERS[strategy](pool, seed)
+
+
+class Bm25Backend(NegativeBackend):
+    """Hard negatives: an anchor's text is searched in an index of its source (documents: source, id,
+    text); anchors without a hit get a uniform draw."""
 
+    def __init__(self, documents: DataFrame, draw_no: int = 0, rotate: int = 3):
+        self.documents, self.draw_no, self.rotate = documents, draw_no, rotate
 
-def bm25_or_uniform(ranked: DataFrame, pool: DataFrame, draw_no: int = 0, rotate: int = 3, seed: int = 42) -> DataFrame:
-    """id, negative_id, fallback: the negative of bm25_negative; where the anchor has no hit in its split,
-    a uniform draw from its split and source, else from its split (fallback). pool: id, source, split."""
-    found = bm25_negative(ranked, pool, draw_no, rotate).withColumnRenamed("negative_id", "neg")
-    near, far = (_draw(pool, by, "bm25", seed) for by in (["source", "split"], ["split"]))
-    return _tiers(pool, [(found, False), (near, True), (far, True)])
+    def choose(self, strategy: str, pool: DataFrame, anchors: DataFrame, seed: int) -> DataFrame:
+        asked = anchors.join(pool.select("id", "source"), "id").select("source", "id", "text")
+        return bm25_negative(bm25_top(self.documents, anchors=asked), pool, self.draw_no, self.rotate, seed, strategy)

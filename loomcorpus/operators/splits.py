@@ -23,10 +23,26 @@ def assign(df: DataFrame, id: str = "id", seed: int = 42, ratios: SplitRatios =
     return df.join(given, id, "left").withColumn("split", F.coalesce("given", label)).drop("given")
 
 
+def ranked(df: DataFrame, by: tuple[str, ...], range_: Column, order: list, name: str = "pos") -> DataFrame:
+    """The frame with ``name``: each row's place in its group, from 0, in an order that begins with
+    ``range_``. Ranges are ranked each on its own and moved by the sizes of those before, so no task
+    sorts a whole group."""
+    ranged = df.withColumn("_range", range_)
+    sizes = ranged.groupBy(*by, "_range").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")
+    inside = F.row_number().over(Window.partitionBy(*by, "_range").orderBy(*order)) - 1
+    met = ranged.withColumn("_in", inside).join(sizes.select(*by, "_range", before.alias("_before")), [*by, "_range"])
+    return met.withColumn(name, (F.col("_before") + F.col("_in")).cast("long")).drop("_range", "_in", "_before")
+
+
+def hash_ranked(df: DataFrame, by: tuple[str, ...], hashed: Column, id: str, name: str = "pos", bits: int = 8) -> DataFrame:
+    """``ranked`` in the order of a hash52."""
+    return ranked(df.withColumn("_hash", hashed), by, F.shiftright("_hash", 52 - bits), ["_hash", id], name).drop("_hash")
+
+
 def source_order(df: DataFrame, epoch: int = 0, seed: int = 42, id: str = "id", by: tuple[str, ...] = ("source",)) -> DataFrame:
     """The frame with ``pos``: the place of each record within its source in this epoch."""
-    w = Window.partitionBy(*by).orderBy(hash52(seed ^ epoch, "order", F.col(id)), id)
-    return df.withColumn("pos", F.row_number().over(w) - 1)
+    return hash_ranked(df, by, hash52(seed ^ epoch, "order", F.col(id)), id)
 
 
 def source_cycle(sources: DataFrame, cycles: int, epoch: int = 0, seed: int = 42) -> DataFrame:
@@ -41,7 +57,7 @@ def anchor_rotation(ordered: DataFrame, slots: DataFrame, seed: int = 42, id: st
     offset hashed for each round through the source."""
     size = ordered.groupBy("source").agg(F.count("*").alias("size"))
     turn = F.floor(F.col("visit") / F.col("size")).cast("long")
-    placed = slots.join(size, "source").withColumn("pos", ((F.col("visit") + hash52(seed, "offset", F.col("source"), turn)) % F.col("size")).cast("int"))
+    placed = slots.join(size, "source").withColumn("pos", ((F.col("visit") + hash52(seed, "offset", F.col("source"), turn)) % F.col("size")).cast("long"))
     return placed.join(ordered.select("source", "pos", id), ["source", "pos"]).select("source", "visit", id)
 
 
@@ -62,10 +78,19 @@ def interleave(df: DataFrame, epoch: int = 0, seed: int = 42, id: str = "id") ->
     )
 
 
-def reconcile(order: DataFrame, consumed: DataFrame, id: str = "id") -> DataFrame:
-    """An epoch's order after its population changed: consumed ids go to the end, in order."""
+def reconcile(order: DataFrame, consumed: DataFrame, id: str = "id", by: tuple[str, ...] = ("source",), span: int = 1 << 16) -> DataFrame:
+    """An epoch's order (pos within ``by``) after its population changed: ids that were consumed go to the
+    end, both parts in their order; ``consumed`` says which."""
     seen = consumed.select(id).distinct().withColumn("seen", F.lit(True))
-    return order.join(seen, id, "left").withColumn("consumed", F.coalesce("seen", F.lit(False))).drop("seen")
+    flagged = order.join(seen, id, "left").withColumn("consumed", F.coalesce("seen", F.lit(False))).drop("seen")
+    at = F.struct("consumed", F.floor(F.col("pos") / span).alias("at"))
+    return ranked(flagged.withColumnRenamed("pos", "was").withColumn("pos", F.col("was")), by, at, ["pos"], "pos").drop("was")
+
+
+def resumed(order: DataFrame, consumed: DataFrame, checksum: int | None, seed: int = 42, id: str = "id") -> DataFrame:
+    """The order to go on with: as it is where the population is the one of ``checksum``, else reconciled."""
+    now = population_checksum(order, id).first().checksum if checksum is not None else None
+    return order if checksum is not None and now == checksum else reconcile(order, consumed, id).drop("consumed")
 
 
 def population_checksum(df: DataFrame, id: str = "id") -> DataFrame:

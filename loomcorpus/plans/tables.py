@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import weights
 from ..operators import metrics, splits
 from .common import DOCS, docs, label, table
+from .text import SIMILARITY
 
 
 def source_skew(spark, d):
@@ -46,5 +47,8 @@ QUERIES = {
         f"""WITH {DOCS}, c AS (SELECT source, {label('id')} AS split, count(*)::HUGEINT AS n FROM docs GROUP BY ALL)
 SELECT source, split, sum(n)::BIGINT AS n, sum(n * (n - 1) * 2)::VARCHAR AS triplets, sum(n * 8)::VARCHAR AS effective, sum(n * n * 2)::VARCHAR AS pairs, sum(n * 6)::VARCHAR AS texts FROM c GROUP BY CUBE (source, split)""",
     ),
-    "similarity_summary": (similarity_summary, None),
+    "similarity_summary": (
+        similarity_summary,
+        f"""WITH {SIMILARITY} SELECT source, round(avg(jaccard), 9) AS mean_jaccard, round(median(jaccard), 9) AS median_jaccard, round(avg(cosine), 9) AS mean_cosine, round(median(cosine), 9) AS median_cosine FROM sims GROUP BY source""",
+    ),
 }

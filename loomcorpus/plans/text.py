@@ -98,10 +98,37 @@ _KVP = f"""{DOCS}, drawn AS (SELECT id, text, lang, source, {u("'42'", "'emit'",
 prefixed AS (SELECT id, text, CASE WHEN emit THEN 'meta: ' || CASE WHEN which = 1 THEN 'source=' || source WHEN NOT has_source THEN 'lang=' || lang
   WHEN ol < os THEN 'lang=' || lang || ' | source=' || source ELSE 'source=' || source || ' | lang=' || lang END END AS prefix FROM drawn)"""
 
+#: Sentences: a full stop that is neither within an abbreviation or number nor followed by another ends one, as do ! and ?.
+_INNER = "'([A-Z0-9])\\.([A-Z0-9])', '\\1' || chr(2) || '\\2', 'g'"
+_SENTENCES = f"""SELECT doc_id, list_filter(list_transform(flatten(list_transform(string_split(regexp_replace(text, '\\r\\n?', chr(10), 'g'), chr(10) || chr(10)),
+  lambda b: string_split(regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim(regexp_replace(b, '{SPACE}', ' ', 'g')), {_INNER}), {_INNER}),
+    '(\\.+)', '\\1' || chr(1), 'g'), '([!?])', '\\1' || chr(1), 'g'), chr(1)))),
+  lambda s: replace(trim(s), chr(2), '.')), lambda s: s <> '') AS sentences FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL"""
+_DIGITS = "length(regexp_replace({0}, '[^0-9]', '', 'g'))"
+_LETTERS = "length(regexp_replace({0}, '[^\\p{{L}}\\p{{Nl}}]', '', 'g'))"
+_GATED = f"""list_filter(list_transform(list_filter({_LINES}, lambda x: NOT ({_TABLE} AND translate({_TRIM}, '|-: ' || chr(9), '') = '')),
+  lambda x: CASE WHEN {_TABLE} THEN array_to_string(list_filter(list_transform(string_split(x, '|'), lambda c: {_CELL}), lambda c: c <> ''), ' ') ELSE x END),
+  lambda x: regexp_matches(x, '[\\p{{L}}\\p{{Nl}}]'))"""
+_DENOISE = f"""WITH {DOCS}, t AS (SELECT id, text FROM docs UNION ALL SELECT 'page::' || page_id, regexp_replace(html, '<[^>]*>', ' ', 'g') FROM pages),
+gated AS (SELECT id, {_GATED} AS lines FROM t),
+line AS (SELECT id, i, lines[i] AS x, {_DIGITS.format('lines[i]')} AS d, {_LETTERS.format('lines[i]')} AS a FROM gated, unnest(range(1, len(lines) + 1)) r(i)),
+word AS (SELECT id, i, j, w[j] AS w, {_DIGITS.format('w[j]')} AS d, {_LETTERS.format('w[j]')} AS a FROM (SELECT id, i, {toks('x')} AS w FROM line WHERE d > 0.35::DOUBLE * (d + a)), unnest(range(1, len(w) + 1)) r(j)),
+near AS (SELECT *, least(coalesce(j - max(CASE WHEN a > 0 THEN j END) OVER (PARTITION BY id, i ORDER BY j), 1000000000),
+  coalesce(min(CASE WHEN a > 0 THEN j END) OVER (PARTITION BY id, i ORDER BY j ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) - j, 1000000000)) AS wave FROM word),
+upto AS (SELECT *, sum(d) OVER (PARTITION BY id, i ORDER BY wave) AS ud, sum(a) OVER (PARTITION BY id, i ORDER BY wave) AS ua FROM near),
+kept AS (SELECT id, i, string_agg(w, ' ' ORDER BY j) AS x FROM upto WHERE wave = 0 OR ud <= 0.35::DOUBLE * (ud + ua) GROUP BY id, i)
+SELECT g.id, l.text FROM gated g LEFT JOIN (SELECT id, string_agg(coalesce(kept.x, line.x), chr(10) ORDER BY i) AS text FROM line LEFT JOIN kept USING (id, i) GROUP BY id) l USING (id)"""
+#: Counts of the bytes of two texts, and their similarities.
+_BYTES = lambda x: f"(SELECT id, b, count(*) AS n FROM (SELECT id, unnest(regexp_extract_all(hex(encode({x})), '..')) AS b FROM pairs) GROUP BY ALL)"
+SIMILARITY = f"""{DOCS}, pairs AS (SELECT id, source, trim(split_part(text, chr(10), 1)) AS title, text FROM docs),
+bytes AS (SELECT id, coalesce(p.n, 0) AS p, coalesce(q.n, 0) AS q FROM {_BYTES('title')} p FULL JOIN {_BYTES('text')} q USING (id, b)),
+sums AS (SELECT id, sum(p * q)::DOUBLE AS pq, sum(p * p)::DOUBLE AS pp, sum(q * q)::DOUBLE AS qq, count(*) FILTER (p > 0 AND q > 0) AS shared, count(*) AS uni FROM bytes GROUP BY id),
+sims AS (SELECT id, source, CASE WHEN pp > 0 AND qq > 0 THEN shared::DOUBLE / uni ELSE 0 END AS jaccard, CASE WHEN pp > 0 AND qq > 0 THEN pq / sqrt(pp * qq) ELSE 0 END AS cosine FROM pairs LEFT JOIN sums USING (id))"""
+
 QUERIES = {
     "token_counts": (token_counts, f"SELECT doc_id, len({toks('text')})::INT AS n_tokens FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL"),
     "normalize_ws": (normalize_ws, f"SELECT doc_id, trim(regexp_replace(text, '{SPACE}', ' ', 'g')) AS text FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL"),
-    "sentence_split": (sentence_split, None),
+    "sentence_split": (sentence_split, _SENTENCES),
     "denoise_gates": (
         denoise_gates,
         f"""SELECT doc_id, array_to_string(list_filter(list_transform(list_filter({_LINES},
@@ -109,7 +136,7 @@ QUERIES = {
   lambda x: CASE WHEN {_TABLE} THEN array_to_string(list_filter(list_transform(string_split(x, '|'), lambda c: {_CELL}), lambda c: c <> ''), ' ') ELSE x END),
   lambda x: regexp_matches(x, '[\\p{{L}}\\p{{Nl}}]')), chr(10)) AS text FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL""",
     ),
-    "denoise_full": (denoise_full, None),
+    "denoise_full": (denoise_full, _DENOISE),
     "row_map_role": (
         row_map_role,
         """SELECT 'chat::' || q.conv_id || '-' || q.turn AS id, 'chat' AS source, 0.5::DOUBLE AS trust, q.text AS anchor, a.text AS context
@@ -132,5 +159,5 @@ WHERE q.role = 'user' AND a.role = 'assistant' AND trim(q.text) <> '' AND trim(a
 SELECT id, CASE WHEN prefix IS NULL THEN text WHEN len(w) <= 64 - p THEN prefix || chr(10) || text
   ELSE prefix || chr(10) || array_to_string(w[1:64 - p], ' ') END AS text FROM t""",
     ),
-    "lexical_similarity": (lexical_similarity, None),
+    "lexical_similarity": (lexical_similarity, f"WITH {SIMILARITY} SELECT id, source, round(jaccard, 9) AS jaccard, round(cosine, 9) AS cosine FROM sims"),
 }

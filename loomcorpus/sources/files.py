@@ -9,9 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import TripletRecipe, title_context_recipes
-from ..functions.text import is_text_file, slug_title
+from ..functions.text import is_blank, is_text_file, slug_title
 from ..operators.mixing import group_cap
 from ..operators.records import record, section
+from .base import DataSource
 
 
 def default_sections(title: Column, body: Column) -> Column:
@@ -23,7 +24,7 @@ def default_taxonomy(source: Column, folders: Column) -> Column:
 
 
 @dataclass(frozen=True)
-class FileSource:
+class FileSource(DataSource):
     """Records of all .txt files under a root, one file a record, read by the executors. ``category_trust``
     maps folder names (any case) to trust; ``taxonomy`` and ``sections`` are Column functions."""
 
@@ -47,7 +48,7 @@ class FileSource:
         return df.select("relpath", F.slice(parts, 1, F.size(parts) - 1).alias("folders"), slug_title(stem).alias("title"), "body", "modified")
 
     def records(self, spark: SparkSession) -> DataFrame:
-        df = self.files(spark).filter(F.trim("body") != "")
+        df = self.files(spark).filter(~is_blank(F.col("body")))
         trust: Column = F.lit(self.trust)
         for name, t in reversed(list(self.category_trust.items())):
             trust = F.when(F.array_contains(F.transform("folders", F.lower), name.lower()), F.lit(t)).otherwise(trust)

@@ -7,13 +7,16 @@ import re
 import shlex
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import TripletRecipe, row_recipes
 from ..errors import ConfigurationError
+from ..functions.hashing import hash52_of
+from ..functions.text import is_blank
 from ..operators.records import TRUST, record, section
+from .base import DataSource
 
 
 def value_to_text(df: DataFrame, name: str, labels: list[str] | None = None) -> Column:
@@ -26,7 +29,7 @@ def value_to_text(df: DataFrame, name: str, labels: list[str] | None = None) ->
         text = F.coalesce(F.get(F.array(*[F.lit(x) for x in labels]), c.cast("int")), c.cast("string"))
     else:
         text = c.cast("string")
-    return F.when(F.trim(text) != "", text)
+    return F.when(~is_blank(text), text)
 
 
 def decode_lines(lines: DataFrame, strict: bool) -> DataFrame:
@@ -41,17 +44,17 @@ def decode_lines(lines: DataFrame, strict: bool) -> DataFrame:
     inner = F.when(F.coalesce(F.schema_of_variant(F.try_variant_get(parsed, "$.row", "variant")).startswith("OBJECT"), F.lit(False)), F.try_variant_get(parsed, "$.row", "variant")).otherwise(parsed)
     asmap = F.try_variant_get(inner, "$", "map<string,variant>")
     texts = F.transform_values(asmap, lambda k, v: F.when(F.schema_of_variant(v).startswith("OBJECT") | F.schema_of_variant(v).startswith("ARRAY"), F.to_json(v)).otherwise(F.try_variant_get(v, "$", "string")))
-    blank = F.when(F.trim(value) == "", F.raise_error(F.lit("blank line")).cast("map<string,string>"))
+    blank = F.when(is_blank(value), F.raise_error(F.lit("blank line")).cast("map<string,string>"))
     plain = F.raise_error(F.lit("not a JSON object")).cast("map<string,string>") if strict else F.create_map(F.lit("text"), F.coalesce(F.when(~kind.startswith("ARRAY"), scalar), value))
     return lines.select("*", F.coalesce(blank, F.when(is_object, texts).otherwise(plain)).alias("object"))
 
 
 @dataclass(frozen=True)
-class RowSource:
+class RowSource(DataSource):
     """Records of a table's rows. Roles: the first column of ``anchor`` (then ``positive``) that isn't
     blank, and every column of ``context``; or the first of ``text``. Rows that lack one are skipped.
     Without anchor columns the first role text is the anchor. Ids come from ``id`` where it is there,
-    else from the row number."""
+    else from the file and the row's number in it (Parquet), or its content (lines of text)."""
 
     name: str
     path: str
@@ -70,11 +73,16 @@ class RowSource:
             raise ConfigurationError("either text columns or role columns are needed")
 
     def frame(self, spark: SparkSession) -> DataFrame:
+        """The rows with ``_row``, which tells them apart wherever they are read."""
+        file = F.element_at(F.split("_metadata.file_path", "/"), -1)
         if self.format == "parquet":
-            return spark.read.parquet(self.path)
-        objects = decode_lines(spark.read.text(self.path), self.format in ("jsonl", "ndjson"))
+            return spark.read.parquet(self.path).withColumn("_row", F.concat_ws("#", file, F.col("_metadata.row_index").cast("string")))
+        lines = spark.read.text(self.path).select("value", F.concat_ws("#", file, F.substring(F.md5("value"), 1, 16)).alias("_row"))
+        copy = F.row_number().over(Window.partitionBy("_row").orderBy("value"))  # equal lines are numbered
+        lines = lines.withColumn("_copy", copy).withColumn("_row", F.when(F.col("_copy") > 1, F.concat_ws("#", "_row", "_copy")).otherwise(F.col("_row")))
+        objects = decode_lines(lines, self.format in ("jsonl", "ndjson"))
         names = dict.fromkeys([self.id, *self.anchor, *self.positive, *self.context, *self.text])
-        return objects.select(*[F.col("object")[n].alias(n) for n in names])
+        return objects.select("_row", *[F.col("object")[n].alias(n) for n in names])
 
     def map_rows(self, df: DataFrame) -> DataFrame:
         have = set(df.columns)
@@ -84,9 +92,10 @@ class RowSource:
             fields = [first(self.text)]
         else:
             fields = [first(names) for names in (self.anchor, self.positive) if names] + [text(n) for n in self.context]
-        number = F.monotonically_increasing_id().cast("string")
-        key = F.coalesce(text(self.id), F.concat(F.lit("row_"), number))
-        mapped = df.select(key.alias("key"), *[f.alias(f"f{i}") for i, f in enumerate(fields)])
+        if "_row" not in have and self.id not in have:
+            raise ConfigurationError(f"rows of {self.name} have neither {self.id} nor a place")
+        key = F.coalesce(text(self.id), F.concat(F.lit("row_"), F.col("_row")) if "_row" in have else F.lit(None).cast("string"))
+        mapped = df.select(key.alias("key"), *[f.alias(f"f{i}") for i, f in enumerate(fields)]).filter("key is not null")
         for i in range(len(fields)):
             mapped = mapped.filter(F.col(f"f{i}").isNotNull())
         cols = [F.col(f"f{i}") for i in range(len(fields))]
@@ -97,10 +106,33 @@ class RowSource:
     def records(self, spark: SparkSession) -> DataFrame:
         return self.map_rows(self.frame(spark))
 
+    def transcode(self, spark: SparkSession, path: str) -> RowSource:
+        """Writes the mapped records as Parquet, rows that lack a field left out, and gives the source that
+        reads them."""
+        names = [f"f{i}" for i in range(max(1, bool(self.anchor) + bool(self.positive) + len(self.context)))]
+        rows = self.records(spark).select(F.substring("id", len(self.name) + 3, 1 << 30).alias("id"), *self._fields(names))
+        rows.write.mode("overwrite").parquet(path)
+        roles = {"text": ("f0",)} if self.text else {"anchor": tuple(names[: bool(self.anchor)]), "positive": tuple(names[bool(self.anchor) : bool(self.anchor) + bool(self.positive)]), "context": tuple(names[bool(self.anchor) + bool(self.positive) :])}
+        return replace(self, path=path, format="parquet", id="id", labels={}, **{k: roles.get(k, ()) for k in ("anchor", "positive", "context", "text")})
+
+    def _fields(self, names: list[str]) -> list[Column]:
+        """The mapped columns, from a record's sections; a single field stands in two of them."""
+        return [F.col("sections")[i]["text"].alias(n) for i, n in enumerate(names)]
+
     def recipes(self) -> tuple[TripletRecipe, ...]:
         return row_recipes(bool(self.anchor))
 
 
+def shard_order(paths: list[str], source: str, seed: int = 42) -> list[str]:
+    """Shards in a hashed order, the same wherever it is worked out."""
+    return sorted(paths, key=lambda p: (hash52_of(seed, "shard", source, len(paths), p), p))
+
+
+def shard_sizes(info: dict) -> dict[str, int]:
+    """Rows of each split, from a dataset's size report."""
+    return {s["split"]: int(s["num_rows"]) for s in info.get("size", info).get("splits", []) if "split" in s and "num_rows" in s}
+
+
 _COLUMNS = {"anchor", "positive", "context", "text"}
 
 

@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from ..config import CONTEXT, TripletRecipe, row_recipes
 from ..errors import ConfigurationError
 from ..operators.records import record, section
+from .base import DataSource
 
 
 @dataclass(frozen=True)
-class CsvSource:
+class CsvSource(DataSource):
     """Records of a CSV file. Column names match whatever their case, cells are trimmed, rows with an
     empty required cell are skipped (their number stays unused), a row of another width is an error.
     Ids are ``{name}::row_{n}`` by the row's place in the file, so one file is read in order."""

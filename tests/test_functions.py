@@ -1,3 +1,6 @@
+import random
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -47,10 +50,32 @@ def test_denoise(spark, x, want):
     assert got == want
 
 
+def _by_waves(d, a, ratio):
+    """The search as it is told: one wave after the other."""
+    keep = [x > 0 for x in a]
+    while True:
+        wave = [i for i in range(len(d)) if not keep[i] and (i and keep[i - 1] or i + 1 < len(d) and keep[i + 1])]
+        then = [k or i in wave for i, k in enumerate(keep)]
+        n, m = sum(x for x, k in zip(d, then) if k), sum(x for x, k in zip(a, then) if k)
+        if not wave or n + m and n / (n + m) > ratio:
+            return keep
+        keep = then
+
+
 def test_denoise_waves():
-    kept = denoise.keep_tokens("aaaaaaaaaa 1 2 99999999999999999", 0.35)
-    assert kept == "aaaaaaaaaa 1 2"
-    assert denoise.keep_tokens("12 34", 0.35) == ""
+    r = random.Random(4)
+    for _ in range(2000):
+        n = r.randint(1, 14)
+        a = [r.choice([0, 0, 0, 1, 5]) for _ in range(n)]
+        d = [r.choice([0, 1, 2, 7]) for _ in range(n)]
+        assert denoise.keep_mask(np.array(d), np.array(a), 0.35).tolist() == _by_waves(d, a, 0.35)
+
+
+def test_letters_are_alphabetic_in_all_scripts(spark):
+    # the vowel signs count, so 5 letters and 2 digits are under the ratio, 5 and 3 over it
+    assert one(spark, "हिन्दी 12", denoise.denoise) == "हिन्दी 12"
+    assert one(spark, "हिन्दी 12 34567", denoise.denoise) == "हिन्दी 12"
+    assert one(spark, "plain line\nab 1 22 333", denoise.denoise) == "plain line\nab 1"
 
 
 @pytest.mark.parametrize(

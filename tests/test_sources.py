@@ -1,13 +1,17 @@
 import json
+from collections import Counter
+from datetime import datetime
 
 import pytest
+from pyspark.sql import functions as F
 
+from loomcorpus import cli, reports
 from loomcorpus.config import ChunkingStrategy, Selector, SamplerConfig, SplitRatios, TripletRecipe, ANCHOR, CONTEXT, tickets, text_recipes
 from loomcorpus.errors import ConfigurationError, Exhausted, InvalidWeight, StateError
 from loomcorpus.operators import mixing, splits
 from loomcorpus.sampler import Prefetcher, Sampler
-from loomcorpus.sources import CsvSource, FileSource, InMemorySource, RowSource
-from loomcorpus.sources.rows import class_labels, decode_lines, parse_source_line, parse_source_list
+from loomcorpus.sources import CsvSource, Cursor, FileSource, IndexableAdapter, IndexableSource, InMemorySource, RowSource, TableSource
+from loomcorpus.sources.rows import class_labels, decode_lines, parse_source_line, parse_source_list, shard_order, shard_sizes
 from loomcorpus.state import SamplerState, StateStore
 
 
@@ -113,7 +117,7 @@ def test_batches(spark):
     swapped = sum(not r.anchor_text.startswith("title") for r in rows)
     assert 0 < swapped < len(rows)
     assert s.pairs().count() == 2 * len(rows)
-    assert {r.recipe for r in s.texts().collect()} <= {"r_anchor", "r_positive", "r_negative"}
+    assert {r.recipe.removeprefix("s_long_sections").removeprefix("r") for r in s.texts().collect()} <= {"_anchor", "_positive", "_negative"}
     with pytest.raises(ConfigurationError):
         s.triplets("test")
     with pytest.raises(Exhausted):
@@ -146,6 +150,181 @@ def test_config():
     assert len(text_recipes(SamplerConfig(recipes=(TripletRecipe("r"),)))) == 3
 
 
+def test_pages_go_round(spark):
+    rows = [{"id": f"m::{i}", "updated_at": datetime(2024, 1, 1 + i), "sections": []} for i in range(7)]
+    src = TableSource("m", InMemorySource("m", rows).records(spark))
+    first = src.refresh(spark, limit=5)
+    second = src.refresh(spark, first.cursor, 5)
+    ids = lambda p: {r.id for r in p.records.collect()}
+    assert len(ids(first)) == len(ids(second)) == 5 and ids(first) | ids(second) == {r["id"] for r in rows}
+    assert (first.cursor.revision, second.cursor.revision) == (5, 3) and second.cursor.last_seen == datetime(2024, 1, 7)
+    assert ids(src.refresh(spark, Cursor(99), 5)) == ids(first) and src.refresh(spark, None, 5, seed=7).records.count() == 5
+    memory = InMemorySource("m", rows)
+    assert [r.id for r in memory.refresh(spark, Cursor(5), 4).records.collect()] == ["m::5", "m::6", "m::0", "m::1"]
+    assert src.refresh(spark, limit=99).records.count() == 7 and InMemorySource("e").refresh(spark, None, 3).records.count() == 0
+
+
+def test_holes_are_skipped(spark):
+    class Sparse(IndexableSource):
+        name = "x"
+
+        def len_hint(self, spark):
+            return 20
+
+        def rows(self, spark):
+            df = InMemorySource("x", [{"id": f"x::{i}", "sections": []} for i in range(20)]).records(spark)
+            return df.filter("row_idx % 4 <> 0")
+
+    src, cursor, seen = IndexableAdapter(Sparse()), None, []
+    for _ in range(3):
+        page = src.refresh(spark, cursor, 5)
+        seen += [r.id for r in page.records.collect()]
+        cursor = page.cursor
+    assert len(seen) == 15 and set(seen) == {f"x::{i}" for i in range(20) if i % 4}
+    assert src.count(spark) == 20
+
+    class Endless(IndexableSource):
+        name = "y"
+
+    with pytest.raises(ConfigurationError):
+        IndexableAdapter(Endless()).refresh(spark)
+
+
+def test_rows_are_told_apart_without_ids(spark, tmp_path):
+    spark.range(9).select(F.concat(F.lit("t"), F.col("id").cast("string")).alias("body")).repartition(3).write.parquet(str(tmp_path / "p"))
+    src = RowSource("r", str(tmp_path / "p"), text=("body",))
+    ids = {r.id: r.sections[0].text for r in src.records(spark).collect()}
+    again = {r.id: r.sections[0].text for r in src.records(spark).repartition(2).collect()}
+    assert len(ids) == 9 and ids == again
+    (tmp_path / "l.txt").write_text("one\ntwo\none\n\tx\n")
+    lines = RowSource("l", str(tmp_path / "l.txt"), "text", text=("text",)).records(spark).collect()
+    assert len({r.id for r in lines}) == 4 and sorted(r.sections[0].text for r in lines) == ["\tx", "one", "one", "two"]
+    with pytest.raises(ConfigurationError):
+        src.map_rows(spark.createDataFrame([("a",)], "body string"))
+    assert src.map_rows(spark.createDataFrame([("a", " \t\n")], "id string, body string")).count() == 0
+
+
+def test_transcoded_rows_read_alike(spark, tmp_path):
+    lines = [{"id": str(i), "q": f"q{i}", "a": f"a{i}" if i != 2 else " ", "c": "k", "label": i % 2} for i in range(5)]
+    (tmp_path / "a.jsonl").write_text("\n".join(map(json.dumps, lines)))
+    key = lambda src: sorted((r.id, [(s.role, s.text) for s in r.sections]) for r in src.records(spark).collect())
+    for roles in ({"anchor": ("q",), "positive": ("a",), "context": ("c",)}, {"anchor": ("a",)}, {"text": ("a", "q")}):
+        src = RowSource("r", str(tmp_path / "a.jsonl"), "jsonl", **roles)
+        assert key(src.transcode(spark, str(tmp_path / "out"))) == key(src) != []
+
+
+def test_shards_and_sizes():
+    paths = [f"s{i}" for i in range(9)]
+    order = shard_order(paths, "src")
+    assert sorted(order) == paths != order and shard_order(paths[::-1], "src") == order != shard_order(paths, "src", 7)
+    assert shard_sizes({"size": {"splits": [{"split": "train", "num_rows": 3}, {"config": "x"}]}}) == {"train": 3}
+
+
+def test_samplers_go_on_where_they_stopped(spark, tmp_path):
+    s = _sampler(spark, batch_size=4)
+    slots = [r.slot_id for b in s.batches(epoch=0) for r in b]
+    took = [next(iter_) for iter_ in [s.batches()] for _ in range(2)]
+    store = StateStore(str(tmp_path / "s.json"))
+    store.save(s.state)
+    later = _sampler(spark, batch_size=4).restore(store.load(42))
+    rest = list(later.batches())
+    assert [r.slot_id for b in took + rest for r in b] == slots
+    assert (later.state.epoch, later.state.next_slot) == (1, 0)
+    pairs = _sampler(spark, batch_size=4)
+    whole = [(r.slot_id, r.nth) for b in pairs.batches("pairs", epoch=0) for r in b]
+    assert whole[:2] == [(whole[0][0], 0), (whole[0][0], 1)]
+    pairs.state.next_slot = 8
+    assert [(r.slot_id, r.nth) for b in pairs.batches("pairs") for r in b][: len(whole) - 8] == whole[8:]
+
+
+def test_overrides_come_before_hashed_labels(spark):
+    s = _sampler(spark)
+    ids = sorted(r.id for r in s.records().collect())
+    s.restore(SamplerState(overrides={i: "test" for i in ids[:30]}))
+    assert {r.anchor_id for r in s.triplets().collect()} <= set(ids[30:])
+
+
+def _two(spark, **kw):
+    sec = lambda role, t: {"role": role, "heading": None, "text": t, "sentences": []}
+    rows = lambda n: [{"id": f"{n}::{i:03}", "trust": 1.0, "taxonomy": [n], "sections": [sec("anchor", f"title {n} {i}"), sec("context", f"body {n} {i}")]} for i in range(40)]
+    recipes = (TripletRecipe("r", ANCHOR, CONTEXT, CONTEXT),)
+    return Sampler(spark, SamplerConfig(recipes=recipes, batch_size=6, **kw), [InMemorySource(n, rows(n)) for n in "ab"])
+
+
+def test_sources_take_turns_by_weight(spark):
+    first = next(_two(spark).batches(epoch=0, weights={"a": 2.0, "b": 1.0}))
+    assert Counter(r.anchor_id[0] for r in first) == {"a": 4, "b": 2}
+    assert {r.anchor_id[0] for b in _two(spark).batches(epoch=0, weights={"b": 0.0}) for r in b} == {"a"}
+    with pytest.raises(InvalidWeight):
+        _two(spark).batches(weights={"c": 1.0})
+
+
+def test_ingestion_is_limited_and_goes_on(spark):
+    s = _two(spark, max_records=10)
+    first = {r.id for r in s.ingest().collect()}
+    assert len(first) == 20 and s.state.cursors == {"a": 10, "b": 10}
+    assert not first & {r.id for r in s.ingest().collect()}
+    assert {r.anchor_id for r in s.triplets().collect()} <= {r.id for r in s.records().collect()}
+    mixed = s.ingest(9, {"a": 2.0, "b": 1.0}).collect()
+    assert Counter(r.source for r in mixed) == {"a": 6, "b": 3}
+    assert all(x.records == 9 and x.per_second > 0 for x in s.stats)
+
+    class Broken(InMemorySource):
+        def refresh(self, *a, **k):
+            raise OSError("gone")
+
+    s.register(Broken("z"))
+    s.ingest()
+    assert [(x.source, x.error) for x in s.stats] == [("a", None), ("b", None), ("z", "gone")]
+    with pytest.raises(OSError):
+        Sampler(spark, SamplerConfig(), [Broken("z")]).ingest()
+
+
+def test_long_sections_get_a_recipe(spark):
+    s = _sampler(spark)
+    assert [r.name for r in s._recipes(s.records())["s"]] == ["r", "s_long_sections"]
+    assert {r.recipe for r in s.triplets().collect()} == {"r", "s_long_sections"}
+    assert [r.name for r in _sampler(spark, long_sections=False)._recipes(s.records())["s"]] == ["r"]
+
+
+def test_reconciled_orders(spark):
+    order = spark.createDataFrame([("s", f"r{i}", i) for i in range(6)], "source string, id string, pos long")
+    used = order.filter("id in ('r0', 'r3')").select("id")
+    got = [r.id for r in splits.reconcile(order, used, span=2).orderBy("pos").collect()]
+    assert got == ["r1", "r2", "r4", "r5", "r0", "r3"]
+    same = splits.population_checksum(order).first().checksum
+    assert [r.id for r in splits.resumed(order, used, same).orderBy("pos").collect()] == [f"r{i}" for i in range(6)]
+    assert [r.id for r in splits.resumed(order, used, same + 1).orderBy("pos").collect()] == got
+
+
+def test_commands(spark, tmp_path, capsys):
+    for i in range(12):
+        d = tmp_path / "news" / f"2025-01-{i % 3 + 1:02}"
+        d.mkdir(parents=True, exist_ok=True)
+        (d / f"item_{i}.txt").write_text(f"Body number {i}. It has words.")
+    root = str(tmp_path / "news")
+    cli.main(["capacity", "--source-root", root])
+    out = capsys.readouterr().out
+    assert "all sources / all splits: 12 records" in out and "replay 1.00x" in out
+    state = str(tmp_path / "state.json")
+    for kind in ([], ["--pair-batch"], ["--text-recipes"]):
+        cli.main(["demo", "--source-root", root, "--batches", "2", "--batch-size", "2", "--split-store-path", state, "--reset", "--ingestion-max-records", "8", *kind])
+        out = capsys.readouterr().out
+        assert "batch 1: 2 " in out and "news 100%" in out and "news: 8 records" in out
+        assert StateStore(state).load().next_slot == 4 and StateStore(state).load().cursors == {"news": 8}
+    cli.main(["demo", "--source-root", root, "--list-text-recipes"])
+    assert "title_context_wrong_article_anchor 0.75" in capsys.readouterr().out
+    for bad in (["--batch-size", "0"], ["--split-ratios", "1,1,1"], ["--batches", "x"]):
+        with pytest.raises(SystemExit):
+            cli.parser().parse_args(["demo", "--source-root", root, *bad])
+
+
+def test_printed_numbers():
+    assert [reports.grouped_digits(x) for x in (0, 999, 1234567)] == ["0", "999", "1,234,567"]
+    assert [reports.replay_factor(*x) for x in ((10, 4), (0, 1), (3, 0))] == ["2.50x", "n/a", "n/a"]
+    assert reports.preview("a \n b" + "c" * 200, 10) == "a bcccccc…"
+
+
 def test_state(tmp_path):
     store = StateStore(str(tmp_path / "s.json"))
     store.save(SamplerState(seed=1).advance(25, 10))
