@@ -107,8 +107,10 @@ def encode(df: DataFrame, vocabulary: str | None = None) -> DataFrame:
 
 
 def decode(df: DataFrame, vocabulary: str | None = None) -> DataFrame:
-    """doc_id, text from doc_id, tokens; null tokens give a null text. Bytes that are no UTF-8,
-    which only lists made elsewhere hold, become U+FFFD."""
+    """doc_id, text from doc_id, tokens; null tokens give a null text, none an empty one. Bytes that are
+    no UTF-8, which only lists made elsewhere hold, become U+FFFD. Repeated rows give repeated results;
+    a null doc_id stays null; extra columns are ignored; an empty table gives an empty result; long
+    lists are decoded whole."""
     path = vocabulary or vocab.vocabulary_path()
     out = pa.schema([("doc_id", pa.int64()), ("text", pa.string())])
 

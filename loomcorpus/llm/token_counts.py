@@ -163,12 +163,16 @@ def counts_of(changes: bytes, width: int) -> np.ndarray:
 
 def tokens_at(stored: DataFrame, chars: int) -> DataFrame:
     """doc_id, tokens: the exact count of each text's first ``chars`` characters (all of a shorter
-    text), from the store alone."""
+    text), from the store alone. Null and empty texts have 0, as any text has where ``chars`` is 0.
+    Repeated rows give repeated results; a null doc_id stays null; extra columns are ignored; an empty
+    store gives an empty result."""
     return _asked(stored, lambda c: int(c[min(chars, len(c)) - 1]) if len(c) and chars > 0 else 0, "tokens")
 
 
 def cut_at(stored: DataFrame, budget: int) -> DataFrame:
-    """doc_id, chars: the longest prefix of each text with at most ``budget`` tokens."""
+    """doc_id, chars: the length of the longest prefix of each text with at most ``budget`` tokens, the
+    last of equally good ones. Null and empty texts have 0. Repeated rows give repeated results; a
+    null doc_id stays null; extra columns are ignored; an empty store gives an empty result."""
 
     def longest(c: np.ndarray) -> int:
         fits = np.flatnonzero(c <= budget)
@@ -185,7 +189,7 @@ def _asked(stored: DataFrame, answer, name: str) -> DataFrame:  # noqa: ANN001
         return pd.Series([0 if c is None else answer(counts_of(c, w)) for c, w in zip(changes, width, strict=True)], dtype="int32")
 
     asked: Column = ask("changes", "width")
-    return stored.select("doc_id", asked.alias(name))
+    return pick(stored, "doc_id", "changes", "width").select("doc_id", asked.alias(name))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

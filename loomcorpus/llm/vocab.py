@@ -121,6 +121,7 @@ class Vocab:
         return got
 
     def _compatible(self, a: int, b: int) -> bool:
+        # opens the younger token first, as the pair check of the public `bpe` crate does (MIT licence)
         pairs, left, right, limit = self.pairs, self._left, self._right, NONE
         while True:
             if pairs.get(a << SHIFT | b, NONE) < limit:

@@ -81,6 +81,19 @@ def test_packing_places_every_token_once(spark, encoder):
     assert len(used) <= 1.05 * fullest + 1
 
 
+@pytest.mark.parametrize("bucket", [packing.BUCKET, 2])
+def test_pieces_of_a_length_in_many_buckets(spark, monkeypatch, bucket):
+    monkeypatch.setattr(packing, "BUCKET", bucket)
+    rows = [(i, "one two three four", "", "", 0) for i in range(50)] + [(i, "one two", "", "", 0) for i in range(50, 70)]
+    out = packing.pack(table(spark, rows), 10).collect()
+    assert sorted(r.doc_id for r in out) == list(range(70))
+    used = defaultdict(list)
+    for r in out:
+        used[r.bin_id].append((r.bin_offset, r.bin_offset + r.n_tokens))
+    assert all(a[1] == b[0] for s in used.values() for a, b in zip(sorted(s), sorted(s)[1:])) and all(max(s)[1] <= 10 for s in used.values())
+    assert len(used) == 25  # 20 of 4 + 4 + 2, 5 of 4 + 4
+
+
 @pytest.mark.parametrize(
     "line, fault",
     [
@@ -130,6 +143,19 @@ def test_every_prefix_is_counted(spark, encoder):
     assert {r.doc_id: r.chars for r in token_counts.cut_at(stored, 5).collect()} == {r.doc_id: r.cut for r in stored.collect()}
 
 
+def test_answers_over_awkward_tables(spark):
+    for df in (table(spark), clashing(spark)):
+        stored = token_counts.store(df, 5).select("*", F.lit(1).alias("CHANGES"))
+        lengths = {i: len(t or "") for i, t, *_ in ROWS}
+        for f, zero in ((lambda s: token_counts.tokens_at(s, 3), "tokens"), (lambda s: token_counts.cut_at(s, 5), "chars"), (lambda s: token_counts.tokens_at(s, 0), "tokens")):
+            got = f(stored).collect()
+            assert len(got) == len(ROWS) and all(r[zero] == 0 for r in got if not lengths[r.doc_id])
+            assert f(stored.limit(0)).collect() == []
+        encoded = bpe.encode(df).select("*", F.lit("x").alias("Tokens"), F.lit(1).alias("extra"))
+        assert Counter((r.doc_id, r.text) for r in bpe.decode(encoded).collect()) == Counter((i, t) for i, t, *_ in ROWS)
+        assert bpe.decode(encoded.limit(0)).collect() == []
+
+
 def _repeats(texts, k):
     seen = defaultdict(list)
     for d, t in sorted(texts.items()):
