@@ -106,7 +106,8 @@ def cut_pieces(docs: DataFrame, words: int, gram: int) -> DataFrame:
     return docs.mapInArrow(run, "anchor bigint, piece bigint, doc_id bigint, tx bigint, start int, stop int")
 
 
-SHARD = "bucket bigint, anchor binary, piece binary, doc_id binary, tx binary, start binary, length binary, bwt binary"
+_SHARD = ["bucket", "anchor", "piece", "doc_id", "tx", "start", "length", "bwt"]
+SHARD = "bucket bigint, " + ", ".join(f"{c} binary" for c in _SHARD[1:])
 
 
 def _spread(start: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -136,7 +137,8 @@ def transform(symbols: np.ndarray, item: np.ndarray, bucket: np.ndarray) -> tupl
 
 def shard_transforms(docs: DataFrame, words: int, buckets: int) -> DataFrame:
     """Per slice of texts and bucket, the transform of the wanted pieces; docs has ``want``, an array
-    of (anchor, piece, start, stop)."""
+    of (anchor, piece, start, stop, hot). Hot pieces have no transform: their runs go to bucket -1, the
+    runs' hashes in place of the anchors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow.compute as pc
@@ -146,15 +148,24 @@ def shard_transforms(docs: DataFrame, words: int, buckets: int) -> DataFrame:
                 runs = Runs(part["text"].to_pylist())
                 parent = pc.list_parent_indices(part["want"]).to_numpy(zero_copy_only=False)
                 flat = pc.list_flatten(part["want"])
-                anchor, piece, start, stop = (flat.field(k).to_numpy(zero_copy_only=False) for k in ("anchor", "piece", "start", "stop"))
-                row, start = parent, start.astype(np.int64)
-                length = stop.astype(np.int64) - start
+                anchor, piece, start, stop, hot = (flat.field(k).to_numpy(zero_copy_only=False) for k in ("anchor", "piece", "start", "stop", "hot"))
+                doc_ids, txs, start, stop = part["doc_id"].to_numpy(), part["tx"].to_numpy(), start.astype(np.int64), stop.astype(np.int64)
+                if hot.any():
+                    many = (stop - start - words + 1)[hot]
+                    row, at = np.repeat(parent[hot], many), _spread(start[hot], many)
+                    begin = runs.first[row] + at
+                    cols = {"anchor": runs.run(begin, begin + words).view(np.int64), "doc_id": doc_ids[row], "tx": txs[row], "start": at}
+                    yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int64()), *[pa.array([cols[n].tobytes() if n in cols else b""], pa.binary()) for n in _SHARD[1:]]], names=_SHARD)
+                    if hot.all():
+                        continue
+                anchor, piece, start, stop, row = (x[~hot] for x in (anchor, piece, start, stop, parent))
+                length = stop - start
                 begin = runs.first[row] + start
                 bucket = (mix(anchor.view(U)) % U(buckets)).astype(np.int64)
                 by = np.argsort(bucket, kind="stable")
                 row, start, length, begin, anchor, piece, bucket = (x[by] for x in (row, start, length, begin, anchor, piece, bucket))
-                doc_id = part["doc_id"].to_numpy()[row]
-                tx = part["tx"].to_numpy()[row]
+                doc_id = doc_ids[row]
+                tx = txs[row]
                 symbols = np.zeros(int(length.sum() + len(length)), U)
                 item = np.repeat(np.arange(len(length)), length + 1)
                 symbols[_spread(np.cumsum(length + 1) - length - 1, length)] = np.maximum(runs.hash[_spread(begin, length)], U(1))
@@ -164,31 +175,21 @@ def shard_transforms(docs: DataFrame, words: int, buckets: int) -> DataFrame:
                     lo, hi = np.searchsorted(bucket, (b, b + 1))
                     x, y = np.searchsorted(at, (b, b + 1))
                     cols = [c[lo:hi].astype(np.int64) for c in (anchor, piece, doc_id, tx, start, length)]
-                    yield pa.RecordBatch.from_arrays([pa.array([int(b)], pa.int64()), *[pa.array([c.tobytes()], pa.binary()) for c in (*cols, bwt[x:y])]], names=["bucket", "anchor", "piece", "doc_id", "tx", "start", "length", "bwt"])
+                    yield pa.RecordBatch.from_arrays([pa.array([int(b)], pa.int64()), *[pa.array([c.tobytes()], pa.binary()) for c in (*cols, bwt[x:y])]], names=_SHARD)
 
     return docs.mapInArrow(run, SHARD)
 
 
-def hot_runs(docs: DataFrame, words: int) -> DataFrame:
-    """run, doc_id, tx, start of every run of ``words`` words in the pieces ``want`` of a text."""
-    out = pa.schema([("run", pa.int64()), ("doc_id", pa.int64()), ("tx", pa.int64()), ("start", pa.int64())])
+def hot_runs(shards: DataFrame) -> DataFrame:
+    """run, doc_id, tx, start of every run in bucket -1."""
+    names = ["run", "doc_id", "tx", "start"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import pyarrow.compute as pc
-
         for batch in batches:
-            for part in slices(batch, "text", 1_000_000):
-                runs = Runs(part["text"].to_pylist())
-                parent = pc.list_parent_indices(part["want"]).to_numpy(zero_copy_only=False)
-                flat = pc.list_flatten(part["want"])
-                start, stop = (flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("start", "stop"))
-                many = stop - start - words + 1
-                row, start = np.repeat(parent, many), _spread(start, many)
-                begin = runs.first[row] + start
-                at = pa.array(row)
-                yield pa.RecordBatch.from_arrays([pa.array(runs.run(begin, begin + words).view(np.int64)), part["doc_id"].take(at), part["tx"].take(at), pa.array(start)], schema=out)
+            for row in zip(*[batch[c].to_pylist() for c in ("anchor", "doc_id", "tx", "start")], strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(x, np.int64)) for x in row], names=names)
 
-    return docs.mapInArrow(run, "run bigint, doc_id bigint, tx bigint, start bigint")
+    return shards.filter("bucket = -1").select("anchor", "doc_id", "tx", "start").mapInArrow(run, "run bigint, doc_id bigint, tx bigint, start bigint")
 
 
 def _stable(codes: np.ndarray) -> np.ndarray:
@@ -308,22 +309,24 @@ def repeated_spans(df: DataFrame, words: int = WORDS, gram: int = GRAM, bucket_w
     reps = kinds.join(mixed, "anchor").select("anchor", "piece", "rep.*", (F.col("variants") > hot_pieces).alias("hot"))
     reps = shared.table(reps, "reps")
     size = reps.filter("not hot").agg(F.sum(F.col("stop") - F.col("start"))).first()[0]
-    want = lambda kind: reps.filter(kind).groupBy("doc_id", "tx").agg(F.collect_list(F.struct("anchor", "piece", "start", "stop")).alias("want"))
+    want = reps.groupBy("doc_id", "tx").agg(F.collect_list(F.struct("anchor", "piece", "start", "stop", "hot")).alias("want"))
     again = shared.table(pick(df, "doc_id").filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "again")
     one = docs  # a text that many rows hold under one doc_id is merged once
     if again.head(1):
         one = by_ids(docs, again, "left_anti").unionByName(by_ids(docs, again, "left_semi").dropDuplicates(["doc_id", "tx"]))
     release(spark)
-    shards = shard_transforms(one.join(want("not hot"), ["doc_id", "tx"]), words, max(1, -(-(size or 0) // bucket_words)))
+    shards = shared.table(shard_transforms(one.join(want, ["doc_id", "tx"]), words, max(1, -(-(size or 0) // bucket_words))), "shards", "snappy")
+    shared.drop("reps")
+    release(spark)
 
     def merge(bucket: pd.DataFrame) -> pd.DataFrame:
         found = merged(bucket, words)
         return pd.DataFrame(dict(zip(("doc_id", "tx", "start", "stop", "later"), found, strict=True)))
 
-    ranges = shared.table(shards.groupBy("bucket").applyInPandas(merge, "doc_id bigint, tx bigint, start bigint, stop bigint, later boolean"), "ranges")
+    ranges = shared.table(shards.filter("bucket >= 0").groupBy("bucket").applyInPandas(merge, "doc_id bigint, tx bigint, start bigint, stop bigint, later boolean"), "ranges")
     release(spark)
-    if reps.filter("hot").head(1):
-        hot = shared.table(hot_runs(one.join(want("hot"), ["doc_id", "tx"]), words), "hot")
+    if shards.filter("bucket = -1").head(1):
+        hot = hot_runs(shards)
         first = hot.groupBy("run").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "tx", "start")).alias("first")).filter("n > 1")
         again = hot.join(first, "run").withColumn("isfirst", F.struct("doc_id", "tx", "start") == F.col("first"))
         both = F.when(F.col("isfirst"), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))
