@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from .errors import ConfigurationError
@@ -68,6 +69,8 @@ class ChunkingStrategy:
     fallback_tokens: int = 512
     weight_floor: float = 0.1
     preprocessors: tuple = ()
+    #: Text column -> array of tokens; white space where none is given.
+    tokenizer: Callable | None = None
 
     def __post_init__(self) -> None:
         if self.window <= 0:

@@ -1,10 +1,10 @@
 """Registered queries over the given tables, with their DuckDB SQL where SQL can express them."""
 
-from . import chunks, ordering, sampling, tables, text
+from . import chunks, ordering, records, sampling, tables, text
 
 
 def _all() -> dict:
-    return {k: v for m in (text, chunks, ordering, sampling, tables) for k, v in m.QUERIES.items()}
+    return {k: v for m in (text, records, chunks, ordering, sampling, tables) for k, v in m.QUERIES.items()}
 
 
 def queries() -> dict:

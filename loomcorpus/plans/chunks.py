@@ -25,8 +25,8 @@ def _windows(strategy):
 
 
 def chunk_weights(spark, d):
-    """Train records only: their windows and summaries with weights."""
-    chunks = chunking.weighted(chunking.windows(_texts(spark, d).withColumn("split", split_label(F.col("id"))).filter("split = 'train'"), FULL), FULL)
+    """The windows and summaries of all records, with their weights and their record's split."""
+    chunks = chunking.weighted(chunking.windows(_texts(spark, d).withColumn("split", split_label(F.col("id"))), FULL), FULL)
     return chunks.select("id", "split", "view", "window_index", "n_tokens", "weight")
 
 
@@ -66,7 +66,7 @@ QUERIES = {
         chunk_weights,
         f"""WITH {_T}, {_FULL} SELECT id, {label('id')} AS split, view, window_index, n_tokens,
   greatest(0.1::DOUBLE, CASE WHEN view = 'summary' THEN 0.35::DOUBLE ELSE 1.0::DOUBLE / (window_index + 1) END * 0.5::DOUBLE) AS weight
-  FROM chunks WHERE {label('id')} = 'train'""",
+  FROM chunks""",
     ),
     "auto_chunk_pairs": (auto_chunk_pairs, f"{_PAIRS} SELECT * FROM pairs"),
     "proximity": (

@@ -3,9 +3,11 @@ as one JSON file, written aside and renamed."""
 
 from __future__ import annotations
 
+import copy
 import json
 import os
 from dataclasses import asdict, dataclass, field
+from typing import Protocol
 
 from .config import SplitRatios
 from .errors import StateError
@@ -30,6 +32,37 @@ class SamplerState:
         return self
 
 
+class Store(Protocol):
+    """Where a sampler's state is kept."""
+
+    def load(self, seed: int | None = None, ratios: SplitRatios | None = None) -> SamplerState: ...
+
+    def save(self, state: SamplerState, path: str | None = None) -> None: ...
+
+
+def checked(state: SamplerState, seed: int | None, ratios: SplitRatios | None) -> SamplerState:
+    if seed is not None and seed != state.seed or ratios is not None and ratios != state.ratios:
+        raise StateError("the state belongs to another seed or other split ratios")
+    return state
+
+
+class MemoryStore:
+    """A state kept for as long as the program runs, apart from the one that is worked with."""
+
+    def __init__(self):
+        self.kept: dict[str | None, SamplerState] = {}
+
+    def load(self, seed: int | None = None, ratios: SplitRatios | None = None) -> SamplerState:
+        if None not in self.kept:
+            raise StateError("no state was saved")
+        return checked(copy.deepcopy(self.kept[None]), seed, ratios)
+
+    def save(self, state: SamplerState, path: str | None = None) -> None:
+        if path and path in self.kept:
+            raise StateError(f"{path} exists")
+        self.kept[path] = copy.deepcopy(state)
+
+
 class StateStore:
     """A state file. Another seed or other ratios than those stored are an error; a copy is saved to a
     new path only where nothing is there."""
@@ -45,9 +78,7 @@ class StateStore:
         if raw.pop("version", None) != self.VERSION:
             raise StateError("the state was written by another version")
         state = SamplerState(**{**raw, "ratios": SplitRatios(**raw["ratios"])})
-        if seed is not None and seed != state.seed or ratios is not None and ratios != state.ratios:
-            raise StateError("the state belongs to another seed or other split ratios")
-        return state
+        return checked(state, seed, ratios)
 
     def save(self, state: SamplerState, path: str | None = None) -> None:
         if path and os.path.exists(path):

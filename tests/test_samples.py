@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from loomcorpus.config import CONTEXT, ChunkingStrategy, Selector, TextRecipe, TripletRecipe, long_section_recipe, row_recipes, title_context_recipes
 from loomcorpus.errors import ConfigurationError
 from loomcorpus.functions import metadata
-from loomcorpus.operators import metrics, sampling, selection
+from loomcorpus.operators import chunking, metrics, sampling, selection
 
 STRATEGY = ChunkingStrategy(window=8, overlaps=(0,), fallback_tokens=0)
 
@@ -109,6 +109,26 @@ def test_neighbours_in_time_as_positives(spark):
         selection.select_sections(sections, Selector("temporal_offset", 1))
 
 
+@pytest.mark.parametrize("ranges", [selection.RANGES, 3])
+def test_neighbours_in_time_by_brute_force(spark, monkeypatch, ranges):
+    monkeypatch.setattr(selection, "RANGES", ranges)
+    r = random.Random(6)
+    rows = [(f"r{i}", "gh"[i % 9 == 0], datetime(2024, 1, 1) + timedelta(days=r.choice([0, 1, 1, 2, 30, 31, 400]), hours=r.choice([0, 0, 5]))) for i in range(80)]
+    df = spark.createDataFrame([*rows, ("alone", "z", datetime(2024, 1, 1)), ("never", "g", None)], "id string, source string, created_at timestamp")
+    for days in (0, 30, -1):
+        want = {}
+        for i, g, t in rows:
+            aim = t + timedelta(days=days)
+            want[i] = min((abs(u - aim), j) for j, h, u in rows if h == g and j != i)[1]
+        assert {x.id: x.neighbor_id for x in selection.temporal_neighbor(df, days, ("source",)).collect()} == want
+
+
+def test_tokenizers_can_be_given(spark):
+    df = spark.createDataFrame([("a", "x-y-z w-v")], "id string, text string")
+    strategy = ChunkingStrategy(window=2, overlaps=(0,), fallback_tokens=0, tokenizer=lambda c: F.split(c, "[- ]"))
+    assert [x.text for x in chunking.windows(df, strategy).orderBy("window_index").collect()] == ["x y", "z w", "v"]
+
+
 def test_instructions_reasons_and_prefixes(spark):
     sections, pool = tables(spark, 5)
     sections = sections.filter("section_idx = 0")
@@ -116,6 +136,7 @@ def test_instructions_reasons_and_prefixes(spark):
     meta = (metadata.KvpPrefix([[metadata.KvpField("src", F.array("source"))]]), pool)
     got = sampling.triplets(sections, pool, (recipe,), STRATEGY, meta=meta)
     rows = got.collect()
+    assert all(x.anchor_meta == x.positive_meta == x.negative_meta == ["src=s"] for x in rows)
     assert len(rows) == 6 and all(x.instruction == "find it" and x.anchor_text.startswith("meta: src=s\nw") for x in rows)
     assert [(x.label, x.reason) for x in sampling.pairs(got).orderBy("slot_id", "nth").collect()] == [("positive", None), ("negative", "wrong_qa_pairing")] * 6
     assert all(x.text.startswith("meta: src=s\n") for x in sampling.texts(sections, (TextRecipe("t", CONTEXT),), STRATEGY, meta=meta).collect())

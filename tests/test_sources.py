@@ -12,7 +12,7 @@ from loomcorpus.operators import mixing, splits
 from loomcorpus.sampler import Prefetcher, Sampler
 from loomcorpus.sources import CsvSource, Cursor, FileSource, IndexableAdapter, IndexableSource, InMemorySource, RowSource, TableSource
 from loomcorpus.sources.rows import class_labels, decode_lines, parse_source_line, parse_source_list, shard_order, shard_sizes
-from loomcorpus.state import SamplerState, StateStore
+from loomcorpus.state import MemoryStore, SamplerState, StateStore
 
 
 def test_csv(spark, tmp_path):
@@ -336,6 +336,20 @@ def test_state(tmp_path):
         store.save(state, store.path)
 
 
+def test_states_in_memory():
+    store, state = MemoryStore(), SamplerState(seed=3, cursors={"a": 1})
+    with pytest.raises(StateError):
+        store.load()
+    store.save(state)
+    state.cursors["a"] = 9
+    assert store.load(3).cursors == {"a": 1}
+    with pytest.raises(StateError):
+        store.load(4)
+    store.save(state, "copy")
+    with pytest.raises(StateError):
+        store.save(state, "copy")
+
+
 def test_streaming(spark, tmp_path):
     from loomcorpus.streaming import ingest
 
