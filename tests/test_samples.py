@@ -1,5 +1,6 @@
 """Samples of recipes with equal selectors and of selectors other than roles; BM25 negatives with a fallback."""
 
+import math
 import random
 from datetime import datetime, timedelta
 
@@ -68,6 +69,24 @@ def test_blocks_of_documents_score_alike(spark, monkeypatch):
     assert sorted(map(tuple, selection.bm25_top(docs, top=5).collect())) == whole and len(whole) > 400
 
 
+def test_bm25_by_brute_force(spark):
+    """Common terms, of which only those count that can lift a document into the best, and rare ones."""
+    r = random.Random(3)
+    rows = [(f"d{i:03}", "s", " ".join(["the"] * r.randint(1, 3) + [r.choice("abcd") for _ in range(6)] + [f"w{r.randint(0, 60)}" for _ in range(r.randint(0, 9))])) for i in range(150)]
+    top = selection.bm25_top(spark.createDataFrame(rows, "id string, source string, text string"), top=4)
+    assert top._jdf.queryExecution().optimizedPlan().toString().count("collect_list(") == 1  # the terms of anchors are weighed once
+    toks = {i: t.split() for i, _, t in rows}
+    mean, df = sum(map(len, toks.values())) / len(toks), {}
+    for t in toks.values():
+        for w in set(t):
+            df[w] = df.get(w, 0) + 1
+    part = lambda w, t: math.log(1 + (len(toks) - df[w] + 0.5) / (df[w] + 0.5)) * t.count(w) * 2.2 / (t.count(w) + 1.2 * (0.25 + 0.75 * len(t) / mean))
+    got = {(x.anchor, x["rank"]): (x.id, x.score) for x in top.collect()}
+    for a, q in toks.items():
+        scores = sorted((-round(sum(part(w, t) for w in set(q)), 6), i) for i, t in toks.items())[:4]
+        assert [got[a, k + 1] for k in range(4)] == [(i, -s) for s, i in scores]
+
+
 def test_a_role_of_several_sections_gives_one_sample_a_slot(spark):
     rows = [(f"d{i}", j, role, 1.0, f"{role} {i} {j} text") for i in range(30) for j, role in enumerate(("anchor", "context", "context"))]
     sections = spark.createDataFrame(rows, "id string, section_idx int, role string, trust double, text string")
