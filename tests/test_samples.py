@@ -128,6 +128,18 @@ def test_neighbours_in_time_as_positives(spark):
         selection.select_sections(sections, Selector("temporal_offset", 1))
 
 
+@pytest.mark.parametrize("whole", [0, 20])
+def test_neighbours_in_time_of_large_and_small_groups(spark, monkeypatch, whole):
+    """Groups of more than WHOLE records are searched by ranges, the others are one range."""
+    monkeypatch.setattr(selection, "RANGES", 5)
+    monkeypatch.setattr(selection, "WHOLE", whole)
+    r = random.Random(8)
+    rows = [(f"r{i}", "gh"[i % 5 == 0], datetime(2024, 1, 1) + timedelta(hours=r.choice([0, 1, 9, 30, 400, 700]))) for i in range(60)]
+    want = {i: min((abs(u - t - timedelta(days=2)), j) for j, h, u in rows if h == g and j != i)[1] for i, g, t in rows}
+    found = selection.temporal_neighbor(spark.createDataFrame(rows, "id string, source string, created_at timestamp"), 2, ("source",))
+    assert {x.id: x.neighbor_id for x in found.collect()} == want
+
+
 @pytest.mark.parametrize("ranges", [selection.RANGES, 3])
 def test_neighbours_in_time_by_brute_force(spark, monkeypatch, ranges):
     monkeypatch.setattr(selection, "RANGES", ranges)
