@@ -117,3 +117,21 @@ def test_decorate(spark):
 def test_metadata_keys(spark):
     assert one(spark, "date=2024-01-02", lambda c: metadata.taxonomy_value(F.array(F.lit("src"), c), "date")) == "2024-01-02"
     assert one(spark, "other=1", lambda c: metadata.strip("date", c)) is None
+
+
+def test_byte_similarity_counts_long_texts_in_pieces():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from loomcorpus.functions import weights
+
+    texts = pa.array(["ab" * 2_000_000, None, "", "é", *["abc"] * 600])
+    others = pa.array(["a" * 3_000_000, "x", "x", "é", *["abd"] * 600])
+    tracemalloc.start()
+    got = weights._byte_similarity(texts, others).to_pylist()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20e6  # 8 bytes and more a byte of text before
+    assert [(x["jaccard"], round(x["cosine"], 6)) for x in got[:4]] == [(0.5, 0.707107), (0, 0), (0, 0), (1, 1)]
+    assert {(x["jaccard"], round(x["cosine"], 6)) for x in got[4:]} == {(0.5, 0.666667)}
