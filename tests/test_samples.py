@@ -160,6 +160,12 @@ def test_tokenizers_can_be_given(spark):
     assert [x.text for x in chunking.windows(df, strategy).orderBy("window_index").collect()] == ["x y", "z w", "v"]
 
 
+def test_texts_are_cut_into_tokens_once_a_pass(spark):
+    sections, _ = tables(spark, 5)
+    plan = chunking.windows(sections, STRATEGY)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1  # a filter on their number would cut them again
+
+
 def test_instructions_reasons_and_prefixes(spark):
     sections, pool = tables(spark, 5)
     sections = sections.filter("section_idx = 0")
